@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash
+from lectern.llm import bpe, packing, simhash
 from lectern.llm.common import table
 
 
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_padded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to, for every document."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op6_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_anchor_simhash,)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op5_padded_bpe, op6_anchor_simhash)}
 SQL: dict[str, str] = {}
