@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, packing, simhash
+from lectern.llm import bpe, compress, langid, packing, rules, simhash
 from lectern.llm.common import table
 
 
@@ -13,6 +13,16 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, and whether it is kept."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted for every document."""
+    return compress.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_padded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to, for every document."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
@@ -23,5 +33,10 @@ def op6_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op5_padded_bpe, op6_anchor_simhash)}
+def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op5_padded_bpe, op6_anchor_simhash, op9_hyperdimensional_langid)}
 SQL: dict[str, str] = {}
