@@ -17,9 +17,9 @@ from lectern.llm.common import cut, map_batches
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_chars", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words")
+MORE = ("n_lines", "n_upper", "n_marks")
 #: Bounds of the labelled sample that the forest is grown on, trees, rows of a tree.
-GOOD_ROWS, BAD_ROWS, TREES, TREE_ROWS = 4096, 192, 128, 256
+GOOD_ROWS, BAD_ROWS, TREES, TREE_ROWS = 4096, 96, 128, 256
 #: Of the good labelled rows, the share that the threshold may drop.
 GOOD_LOSS = 0.002
 BINS = 4096
@@ -68,7 +68,7 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     upper = sum(map(str.isupper, text)) if text and not text.isascii() else int(count[65:91].sum())
     marks = int(count[[33, 63, 58, 59, 124, 61, 95, 126]].sum())
-    return len(words), points - white, int(count[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeat_words(words), points, len(lines), upper, int(count[48:58].sum()), marks, len(set(words))
+    return len(words), points - white, int(count[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, marks
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,20 +85,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def features(columns: dict[str, np.ndarray]) -> np.ndarray:
     """Rates out of the statistics: a row of numbers for each document."""
     c = {k: np.asarray(v, np.float64) for k, v in columns.items()}
-    words, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
-    return np.stack(
-        [
-            np.minimum(c["word_chars"] / words, 40),
-            c["n_symbols"] / chars,
-            c["n_dup_lines"] / lines,
-            c["n_repeat_words"] / words,
-            c["n_upper"] / chars,
-            c["n_digits"] / chars,
-            c["n_marks"] / chars,
-            1 - np.minimum(1, c["n_distinct_words"] / (4 * words**0.75)),
-        ],
-        1,
-    )
+    # What the base rules measure, repeats, stays out; a few characters more keep short texts from standing out.
+    return np.stack([c["n_symbols"] / (c["word_chars"] + 20), c["n_upper"] / (c["word_chars"] + 200), c["n_marks"] / (c["word_chars"] + 20)], 1)
 
 
 class Forest:
