@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, compress, langid, packing, rules, simhash
+from lectern.llm import ann, bpe, compress, langid, packing, rules, simhash, urls
 from lectern.llm.common import table
 
 
@@ -23,6 +24,12 @@ def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op5_padded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to, for every document."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
@@ -33,10 +40,15 @@ def op6_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict for every page."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op5_padded_bpe, op6_anchor_simhash, op9_hyperdimensional_langid)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op4_collision_counting_ann, op5_padded_bpe, op6_anchor_simhash, op7_redirect_url_filter, op9_hyperdimensional_langid)}
+SQL: dict[str, str] = {"op7_redirect_url_filter": urls.SQL}
