@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, compress, langid, packing, rules, simhash, urls
+from lectern.llm import ann, bpe, compress, langid, packing, ppm, rules, simhash, urls
 from lectern.llm.common import table
 
 
@@ -50,5 +50,10 @@ def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op4_collision_counting_ann, op5_padded_bpe, op6_anchor_simhash, op7_redirect_url_filter, op9_hyperdimensional_langid)}
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, token counts, base_score and score for every document."""
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op4_collision_counting_ann, op5_padded_bpe, op6_anchor_simhash, op7_redirect_url_filter, op9_hyperdimensional_langid, op10_ppm_scoring)}
 SQL: dict[str, str] = {"op7_redirect_url_filter": urls.SQL}
