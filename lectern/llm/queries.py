@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, compress, langid, packing, ppm, rules, simhash, urls
+from lectern.llm import ann, bpe, compress, langid, linededup, packing, ppm, rules, simhash, urls
 from lectern.llm.common import table
 
 
@@ -45,6 +45,12 @@ def op7_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of lines and of those that go, and the md5 of the text that stays, for every document."""
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
+
+
 def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -55,5 +61,5 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op4_collision_counting_ann, op5_padded_bpe, op6_anchor_simhash, op7_redirect_url_filter, op9_hyperdimensional_langid, op10_ppm_scoring)}
-SQL: dict[str, str] = {"op7_redirect_url_filter": urls.SQL}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_isolation_forest_rules, op3_compression_classifier, op4_collision_counting_ann, op5_padded_bpe, op6_anchor_simhash, op7_redirect_url_filter, op8_line_neighbourhoods, op9_hyperdimensional_langid, op10_ppm_scoring)}
+SQL: dict[str, str] = {"op7_redirect_url_filter": urls.SQL, "op8_line_neighbourhoods": linededup.SQL}
