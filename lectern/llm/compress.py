@@ -64,8 +64,8 @@ def monotone(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[list[float
     return [b[0] / b[2] for b in blocks], [(b[1] + 0.5) / (b[2] + 1) for b in blocks]
 
 
-def differences(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep and difference: (size with the bad dictionary - size with the good one) / their sum, over all pieces; of an empty
+def differences(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "difference") -> DataFrame:
+    """keep and, under name, (size with the bad dictionary - size with the good one) / their sum, over all pieces; of an empty
     text 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,10 +76,10 @@ def differences(docs: DataFrame, model: Model, keep: list[str], text_col: str =
             if own := pieces(text):
                 g, b = (sum(len(c.compress(p)) for p in own) for c in (good, bad))
                 out[i] = (b - g) / (b + g)
-        return pa.record_batch([*batch.columns[: len(keep)], pa.array(out)], names=[*keep, "difference"])
+        return pa.record_batch([*batch.columns[: len(keep)], pa.array(out)], names=[*keep, name])
 
     cache: list = []
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", difference double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {name} double"
     return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema, "__text")
 
 
@@ -124,3 +124,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), batch.column(2)], names=[id_col, "held_out", "score", "predicted", "difference"])
 
     return found.select(id_col, "held_out", "difference").mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int, difference double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs, whole, whose score is at least least; scores are those of classify(). Without labels all stay."""
+    model, _ = fit(docs, labels, id_col, text_col, label_col)
+    knots_x, knots_y = model.knots
+    said = differences(docs, model, docs.columns, text_col, "__difference")
+    # The curve rises, so the score is high enough from some difference on.
+    high = [x for x, y in zip(*(np.linspace(-1, 1, 200_001), np.interp(np.linspace(-1, 1, 200_001), knots_x, knots_y))) if y >= least]
+    return said.where(F.col("__difference") >= (high[0] if high else 2.0)).select(*docs.columns)

@@ -88,8 +88,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     return [r["lang"] for r in found], centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, lang_pred and score: the cosine with the nearest prototype, at least 0; UNKNOWN and 0 for a text that is null or
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep, and under names the language and its score: the cosine with the nearest prototype, at least 0; UNKNOWN and 0 for a text that is null or
     has no letter, or where no language was learned. Ties go to the language first in order."""
     dims = prototypes.shape[1]
 
@@ -111,10 +111,10 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
             best = int(cosines.argmax())
             said.append(langs[best])
             scores.append(min(1.0, max(0.0, float(cosines[best]))))
-        return pa.record_batch([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        return pa.record_batch([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     cache: list = []
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {names[0]} string, {names[1]} double"
     return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema, "__text")
 
 
@@ -125,3 +125,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     own = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col), held_out(id_col, 3, 1).alias("held_out"))
     langs, prototypes = train(own.where(~F.col("held_out")), text_col, lang_col, dims)
     return predict(own, langs, prototypes, [id_col, "held_out"], text_col)
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, dims: int = DIMS) -> DataFrame:
+    """The rows of docs, whole, whose language is known and has a score of at least least. Learns as identify() does; without
+    training rows nothing is dropped but texts that are null or have no letter."""
+    langs, prototypes = train(docs.where(~held_out(id_col, 3, 1)), text_col, lang_col, dims)
+    said = predict(docs, langs, prototypes, docs.columns, text_col, ("__lang", "__score"))
+    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= least) if langs else F.regexp_like(text_col, F.lit(r"\p{L}"))
+    return said.where(known).select(*docs.columns)

@@ -189,6 +189,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their group: one document of each group stays, with all its columns. Of rows that
     repeat an id, one stays; rows with a null id stay."""
-    groups = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(groups, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    own = cut(near_duplicates(docs, id_col, text_col))
+    named = own.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).count()
+    kept = docs.join(named.select("__keep"), F.col(id_col) == F.col("__keep"), "left_semi")
+    if not named.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
