@@ -54,7 +54,7 @@ def plain_text(column: Column) -> Column:
     def decoded(s: pd.Series) -> pd.Series:
         return s.map(lambda x: html.unescape(x).replace("\xa0", " ").strip(), na_action="ignore")
 
-    bare = F.regexp_replace(F.regexp_replace(column, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]+>", " ")
+    bare = F.regexp_replace(F.regexp_replace(column, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " ")
     return decoded(bare)
 
 
