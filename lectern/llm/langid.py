@@ -127,10 +127,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(own, langs, prototypes, [id_col, "held_out"], text_col)
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, dims: int = DIMS) -> DataFrame:
-    """The rows of docs, whole, whose language is known and has a score of at least least. Learns as identify() does; without
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", above: float = 0.0, dims: int = DIMS) -> DataFrame:
+    """The rows of docs, whole, whose language is known and has a score above `above`: texts no nearer to any
+    language than chance go. Learns as identify() does; without
     training rows nothing is dropped but texts that are null or have no letter."""
     langs, prototypes = train(docs.where(~held_out(id_col, 3, 1)), text_col, lang_col, dims)
     said = predict(docs, langs, prototypes, docs.columns, text_col, ("__lang", "__score"))
-    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= least) if langs else F.regexp_like(text_col, F.lit(r"\p{L}"))
+    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") > above) if langs else F.regexp_like(text_col, F.lit(r"\p{L}"))
     return said.where(known).select(*docs.columns)
