@@ -8,12 +8,14 @@ A text with a space between two white-space characters, or at its end behind one
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _WHITE = r"\s\pZ\x0b\x1c-\x1f\x{85}"
+_MARKS = tuple(",.")
 _UNSAFE = rf"[{_WHITE}] ([{_WHITE}]|\z)"
 
 
@@ -59,20 +61,32 @@ class IdStore:
             self.clear()
         rows = self.rows
         fresh = [c for c in chunks if c not in rows]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        # A mark behind a letter is a pre-token of its own: the ids are those of the chunk without it, and the mark's.
+        plain, marked = [], []
+        for c in fresh:
+            (marked if c.endswith(_MARKS) and c[-2:-1].isalpha() else plain).append(c)
+        self._encode(plain)
+        if marked:
+            self._encode([c for c in dict.fromkeys([*_MARKS, *(c[:-1] for c in marked)]) if c not in rows])
+            pairs = np.array([(rows[c[:-1]], rows[c[-1]]) for c in marked], np.int64)
+            self._add(marked, self.ids(pairs.ravel()), self.length[pairs].sum(1))
+        return np.fromiter((rows[c] for c in chunks), np.int64, len(chunks))
+
+    def _encode(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            part = chunks[at : at + 20_000]
             ids = self.encode(part)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(length.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + total] = np.concatenate(ids) if total else 0
-            self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.used += total
-            for c in part:
-                rows[c] = len(rows)
-        return np.fromiter((rows[c] for c in chunks), np.int64, len(chunks))
+            self._add(part, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())), length)
+
+    def _add(self, chunks: list[str], flat: np.ndarray, length: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.used += len(flat)
+        self.rows.update(zip(chunks, range(len(self.rows), len(self.rows) + len(chunks))))
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of these rows, one behind the other."""
