@@ -12,11 +12,11 @@ def stars(raw: Column) -> Column:
 
 
 def star_text(rating: Column) -> Column:
-    """Filled, half and empty stars, five at most."""
+    """Filled, half and empty stars, five at most; null without a rating."""
     held = F.least(F.greatest(rating, F.lit(0.0)), F.lit(5.0))
     full = F.floor(held).cast("int")
     half = ((held - full) >= 0.5).cast("int")
-    return F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("½"), half), F.repeat(F.lit("☆"), 5 - full - half))
+    return F.when(rating.isNotNull(), F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("½"), half), F.repeat(F.lit("☆"), 5 - full - half)))
 
 
 def star_suffix(rating: float | None) -> str:

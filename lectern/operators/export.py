@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.display import author_key, series_label, star_text
 from lectern.functions.isbn import isbn13_or_blank
 
 #: Columns of the CSV export, and the header of the LibraryThing import.
@@ -84,6 +85,25 @@ def lt_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("c4") != "").alias("with_isbn"), F.count_if(F.col("c10") != "").alias("with_pages"), F.count_if(F.col("c11") != "").alias("with_call_number"))
 
 
+def lt_files(rows: DataFrame, size: int = LT_BATCH) -> DataFrame:
+    """(name, content): the import files, read rows and other ones apart, size rows in each at most; either kind has a file even
+    without rows. A file is built from one batch, so no task holds more than size rows of it."""
+    line = F.rtrim(F.to_csv(F.struct(*(f"c{i}" for i in range(1, 12))), {"quote": '"', "emptyValue": ""}), F.lit("\n"))
+    batches = lt_batches(rows, size).groupBy("is_read", "batch").agg(F.array_sort(F.collect_list(F.struct("c2", "c1", "id", line.alias("line")))).alias("lines"))
+    kinds = rows.sparkSession.createDataFrame([(True,), (False,)], "kind boolean")
+    listed = kinds.join(batches, F.col("kind") == F.col("is_read"), "left")
+    name = F.concat(F.when(F.col("kind"), "read").otherwise("main"), F.lit("_"), F.lpad((F.coalesce("batch", F.lit(0)) + 1).cast("string"), 3, "0"), F.lit(".csv"))
+    content = F.concat(F.lit(LT_HEADER + "\n"), F.array_join(F.transform(F.coalesce("lines", F.array().cast(batches.schema["lines"].dataType)), lambda x: F.concat(x["line"], F.lit("\n"))), ""))
+    return listed.select(name.alias("name"), content.alias("content"))
+
+
+def catalog_lines(items: DataFrame) -> DataFrame:
+    """(id, author_key, line): items as a printed catalog shows them: title, series and stars."""
+    series = F.concat(F.lit(" ("), F.nullif("series", F.lit("")), F.coalesce(F.concat(F.lit(" "), series_label(F.col("series_index"))), F.lit("")), F.lit(")"))
+    shown = F.concat(F.lit(" ["), star_text(F.col("rating")), F.lit("]"))
+    return items.select("id", author_key(F.col("author_sort")).alias("author_key"), F.concat(F.coalesce("title", F.lit("")), F.coalesce(series, F.lit("")), F.coalesce(shown, F.lit(""))).alias("line"))
+
+
 def lt_problems(rows: DataFrame) -> DataFrame:
     """(id, problem): rows that an import would refuse: no title, or an ISBN of a wrong shape."""
     problem = F.when(F.col("c1") == "", "no title").when((F.col("c4") != "") & ~F.col("c4").rlike(r"^97[89]\d{10}$"), "ISBN shape")

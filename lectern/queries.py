@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import display, isbn
 from lectern.functions.text import plain_text
-from lectern.operators import export, quality, reports
+from lectern.operators import export, lookup, quality, reports
 from lectern.plans.fields import FieldRegistry, with_folded
 from lectern.plans.predicates import Compiler, search
 from lectern.sources.star import PART_FULL_SQL, PART_SQL, document_items, part_items, part_items_full, table
@@ -346,6 +346,34 @@ def lt_summary(spark, sf_dir):
     return export.lt_summary(export.lt_rows(items, {"pages": "sheets"}))
 
 
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def lookup_misses(spark, sf_dir):
+    return lookup.misses(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('none')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return lookup.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O", "P", "none"))
+
+
+@query("WITH k AS (SELECT c_custkey, c_name, c_mktsegment FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM k")
+def upsert_rows(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    news = own.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("new"))
+    return quality.upsert(own, news, "c_custkey")
+
+
+@query(f"WITH {PART_SQL} SELECT id, lower(author_sort) AS author_key, title || ' (' || series || ' #' || p_size || ')' || CASE WHEN rating IS NULL THEN '' ELSE ' [' || repeat('★', (rating_raw // 2)::INT) || repeat('½', (rating_raw % 2)::INT) || repeat('☆', (5 - rating_raw // 2 - rating_raw % 2)::INT) || ']' END AS line FROM items")
+def catalog_lines(spark, sf_dir):
+    return export.catalog_lines(part_items(spark, sf_dir))
+
+
+@query(f"WITH {PART_SQL}, r AS (SELECT p_size > 40 AS is_read, (row_number() OVER (PARTITION BY p_size > 40 ORDER BY author_sort, title, id) - 1) // 500 AS batch FROM items), b AS (SELECT is_read, batch, count(*) AS n FROM r GROUP BY ALL) SELECT CASE WHEN is_read THEN 'read_' ELSE 'main_' END || lpad((batch + 1)::VARCHAR, 3, '0') || '.csv' AS name, n + 1 AS n_lines FROM b")
+def lt_files(spark, sf_dir):
+    items = part_items(spark, sf_dir).withColumn("state", F.when(F.col("series_index") > 40, "Read"))
+    return export.lt_files(export.lt_rows(items, {"status": "state"})).select("name", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search, and a report over what it finds."""
     items = part_items_full(spark, sf_dir)

@@ -83,6 +83,13 @@ class Library:
             out = out.join(self.custom_values(column["name"]).select(F.col("book").alias("__book"), F.col("value").alias(f"#{column['label']}")), F.col("id") == F.col("__book"), "left").drop("__book")
         return out
 
+    def book_files(self, root: str = "") -> DataFrame:
+        """(id, format, path): the files of each book below root."""
+        books = self._read("books").select(F.col("id").cast("long").alias("id"), "path")
+        data = self._read("data").select(F.col("book").cast("long").alias("book"), "format", "name")
+        path = F.concat_ws("/", F.nullif(F.lit(root.rstrip("/")), F.lit("")), "path", F.concat("name", F.lit("."), F.lower("format")))
+        return data.join(books, F.col("book") == F.col("id")).select("id", "format", path.alias("path"))
+
     def identifiers_of(self, book: int) -> DataFrame:
         return self._read("identifiers").where(F.col("book") == book).select("type", "val")
 

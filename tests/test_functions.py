@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import display, files, isbn
 from lectern.functions.dates import day_of
 from lectern.functions.text import fold_text, plain_text, strip
-from lectern.operators import export, quality, reports
+from lectern.operators import export, lookup, quality, reports
 from lectern.streaming.pace import pace_stream
 
 
@@ -136,6 +136,9 @@ def test_exports(spark, tmp_path):
     assert [r["line"] for r in export.ai_lines(items).collect()] == ["T by A (S #0.0) [x] 4.0/5", ""]
     rows = export.lt_rows(items).collect()
     assert [rows[0][f"c{i}"] for i in range(1, 12)] == ["T", "A", "", "9780201183993", "", "x", "4", "", "", "", ""] and [r["problem"] for r in export.lt_problems(export.lt_rows(items)).collect()] == ["no title"]
+    made = {r["name"]: r["content"].split("\n") for r in export.lt_files(export.lt_rows(items)).collect()}
+    assert set(made) == {"read_001.csv", "main_001.csv"} and made["read_001.csv"] == [export.LT_HEADER, ""] and len(made["main_001.csv"]) == 4 and made["main_001.csv"][2].startswith("T,A,,9780201183993,")
+    assert [r["line"] for r in export.catalog_lines(items).collect()] == ["T (S #0) [★★★★☆]", ""]
     assert export.csv_rows(items).first()["series_index"] == "0.0" and not export.write(items.where("false"), str(tmp_path / "none"), "json") and export.write(export.csv_rows(items), str(tmp_path / "c"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
 
@@ -146,3 +149,18 @@ def test_pace_stream(spark, tmp_path):
     stream = pace_stream(spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("pace_out").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("pace_out").collect()) == [1, 2] and sorted(r["n"] for r in pace_stream(rows).collect()) == [1, 2]
+
+
+def test_lookup(spark):
+    xml = "<r xmlns='urn:m'><m><classification authority='ddc'>813</classification></m><m><classification authority='lcc'> QA76 </classification><classification authority='ddc'>5</classification></m></r>"
+    assert tuple(one(spark, lookup.class_codes(F.lit(xml)))) == ("QA76", "813") and tuple(one(spark, lookup.class_codes(F.lit("<r/>")))) == (None, None)
+    cache = spark.createDataFrame([("a", "1")], "isbn string, lcc string")
+    keys = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "isbn string")
+
+    def fetch(batches):
+        for batch in batches:
+            yield batch.assign(lcc="new")
+
+    joined, fresh = lookup.lookup(keys, cache, "isbn", fetch, tasks=2)
+    assert {(r["isbn"], r["lcc"]) for r in joined.collect()} == {("a", "1"), ("b", "new"), (None, None)} and fresh.count() == 2
+    assert [tuple(r) for r in lookup.status_counts(keys, "isbn", ("b", "c", "a")).collect()] == [("b", 2), ("c", 0), ("a", 1)]
