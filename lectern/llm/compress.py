@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut, held_out, map_batches
 
 PIECE = 2048
-#: Pieces of each class in the labelled sample that a dictionary is trained on; bytes of a dictionary.
-SAMPLE_PIECES, DICT_BYTES, LEVEL = 2048, 65_536, 3
+#: Labelled rows of each class, and pieces of their texts, in the sample that a dictionary is trained on; bytes of a dictionary.
+SAMPLE_ROWS, SAMPLE_PIECES, DICT_BYTES, LEVEL = 2048, 2048, 65_536, 3
 BINS = 2000
 
 
@@ -83,11 +83,14 @@ def differences(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema, "__text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_pieces: int = SAMPLE_PIECES) -> tuple[Model, DataFrame]:
-    """The model, and (id_col, held_out, difference) of every row of docs. Labels of held-out rows are not looked at. The
-    sample is bounded: sample_pieces of each class, those of the smallest hashes among all pieces of training rows."""
-    own = labels.where(~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__good")).where("__good is not null")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(own, F.col(id_col) == F.col("__id"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS, sample_pieces: int = SAMPLE_PIECES) -> tuple[Model, DataFrame]:
+    """The model, and (id_col, held_out, difference) of every row of docs. Labels of held-out rows are not looked at. The sample
+    is bounded: of each class the sample_rows labelled rows of the smallest hashes, and of their pieces the sample_pieces of the
+    smallest hashes. Only these rows' ids meet the texts, so no text is shuffled."""
+    own = cut(labels.where(~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__good")).where("__good is not null"))
+    first = lambda g: own.where(F.col("__good") == g).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    picked = cut(first(1).union(first(0)))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
 
     def chop(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, good = (c.to_pylist() for c in batch.columns)
@@ -95,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return pa.record_batch([pa.array([x[j] for x in found], kind) for j, kind in enumerate((batch.column(0).type, pa.int32(), pa.binary(), pa.int32()))], names=["id", "k", "piece", "good"])
 
     chopped = map_batches(rows.select(id_col, "__text", "__good"), chop, f"id {docs.schema[id_col].dataType.simpleString()}, k int, piece binary, good int", "__text")
+    chopped = cut(chopped)
     top = lambda g: [bytes(r["piece"]) for r in chopped.where(F.col("good") == g).orderBy(F.xxhash64("id", "k"), "id", "k", "piece").limit(sample_pieces).select("piece").collect()]
     good, bad = top(1), top(0)
     if not good or not bad:
