@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000, lists: str | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows, and entries of the array column lists, if there is one; else as
+    it is, for a shuffled join. df should be a scratch table of numbers, so that counting is cheap and rows are narrow."""
+    n = df.agg(F.count("*") + (F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Deletes the scratch table behind a DataFrame that cut() made; nothing may read it any more."""
     spark, path = df.sparkSession, getattr(df, "scratch_path", None)

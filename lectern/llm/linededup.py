@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, small_side
 
 #: Lines of fewer words are compared exactly only.
 MIN_WORDS = 8
@@ -30,10 +30,11 @@ def _position(doc: str, line: str) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, at, words): a row for each \\n-split line that has a word, of documents with an id."""
+    """(doc, at, line): a row for each \\n-split line that has a word, of documents with an id; its words with one blank between."""
     split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    plain = F.when(F.col("line").rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace("line", _SPACE, " "))).otherwise(F.col("line"))
-    return split.withColumn("line", plain).where("line <> ''")
+    line = F.col("line")
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
+    return split.withColumn("line", F.when(odd, F.trim(F.regexp_replace(line, _SPACE, " "))).otherwise(line)).where("line <> ''")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -41,15 +42,16 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
-def _half_keys() -> Column:
-    """Hashes of the first and the last half, of the line as the shorter or equal one of a pair, and as the longer one."""
-    n, w = F.size("words"), F.col("words")
-
-    def half(m: Column, tag: int) -> list[Column]:
-        k = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(2 * tag), m, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit(2 * tag + 1), m, F.slice(w, n - k + 1, k))]
-
-    return F.array(*half(n, 0), *half(n - 1, 0))
+def _half_keys(least: Column) -> dict[str, Column]:
+    """Hashes of the first and the last half (p and s), of the line as the shorter or equal one of a pair (0), and as the longer
+    one (1); null for lines of fewer words than least."""
+    words = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    made = {"n": words}
+    for longer in (0, 1):
+        shorter = F.col("n") - longer
+        made[f"p{longer}"] = F.when(F.col("n") >= least, F.xxhash64(F.lit("first"), shorter, F.expr(f"substring_index(line, ' ', (n - {longer}) div 2)")))
+        made[f"s{longer}"] = F.when(F.col("n") >= least, F.xxhash64(F.lit("last"), shorter, F.expr(f"substring_index(line, ' ', -((n - {longer}) div 2))")))
+    return made
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -64,25 +66,28 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, at, near): the lines that go. near: false if an earlier line has the same words, else true, if one is near."""
-    found = _hashed(lines(docs, id_col, text_col)).withColumns({"pos": _position("doc", "at"), "words": F.split("line", " ")})
-    n = F.size("words")
-    occurrences = cut(found.select("doc", "at", "pos", "h1", "h2", F.when(n >= min_words, _half_keys()).alias("halves")))
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    distinct = cut(distinct)
-
-    keys = distinct.where("halves is not null").select("h1", "h2", "first", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("key").alias("k"))
-    suspects = keys.join(shared, F.col("key") == F.col("k"), "left_semi").select("h1", "h2", "first").distinct()
-    suspects = suspects.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first").alias("pos"))
-    told = _hashed(lines(docs, id_col, text_col)).withColumn("at_pos", _position("doc", "at"))
-    texts = told.join(suspects, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("at_pos") == F.col("pos"))).select("pos", "h1", "h2", "line").dropDuplicates(["pos"])
-    texts = cut(texts.withColumn("words", F.split("line", " ")).drop("line"))
-
-    # The line itself is variant 0; without its i-th word it is variant i.
-    w = F.col("words")
-    lacking = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.size(w)))).alias("key")))
-    variants = texts.select("pos", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(w).alias("key"))), lacking)).alias("v")).select("pos", "v.i", "v.key")
-    earliest = variants.groupBy("key", "i").agg(F.min("pos").alias("least"))
+    halves = _half_keys(F.lit(min_words))
+    found = _hashed(lines(docs, id_col, text_col)).withColumns({"pos": _position("doc", "at"), "n": halves.pop("n")}).withColumns(halves)
+    occurrences = cut(found.select("doc", "at", "pos", "h1", "h2", *halves))
+    distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in halves)))
+
+    # Two longs a row: a hash of the line will do to find suspects, as a clash only adds some.
+    keys = distinct.where("p0 is not null").select("h1", F.explode(F.array(*(F.struct(F.lit(c[0] == "p").alias("front"), F.col(c).alias("key")) for c in halves))).alias("e")).select("h1", "e.front", "e.key")
+    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(F.col("key").alias("k"))
+    marked = keys.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy(F.col("h1").alias("m1")).agg(F.max("front").alias("front"), F.min("front").alias("all_front"))
+    suspects = cut(distinct.join(marked, F.col("h1") == F.col("m1")).select(F.col("h1").alias("s1"), "h2", F.col("first").alias("pos"), "front", (~F.col("all_front")).alias("back")))
+    told = lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("line"))
+    texts = told.join(small_side(suspects), F.col("h1") == F.col("s1")).where(_position("doc", "at") == F.col("pos")).select("pos", "h1", "h2", "front", "back", F.split("line", " ").alias("words")).dropDuplicates(["pos"])
+    texts = cut(texts)
+
+    # The line itself is variant 0; without its i-th word it is variant i. Where only the first halves agree with another line,
+    # the edit is behind them; where only the last ones do, it is before them.
+    n, w = F.size("words"), F.col("codes")
+    low, high = F.when(F.col("back"), 1).otherwise(F.floor((n - 1) / 2).cast("int") + 1), F.when(F.col("front"), n).otherwise(F.floor(n / 2).cast("int"))
+    lacking = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n)).alias("key")))
+    coded = texts.withColumn("codes", F.transform("words", lambda x: F.xxhash64(x)))
+    variants = cut(coded.select("pos", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(w).alias("key"))), lacking)).alias("v")).select("pos", "v.i", "v.key"))
+    earliest = cut(variants.groupBy("key", "i").agg(F.min("pos").alias("least")))
     whole = earliest.where("i = 0").select(F.col("key").alias("wk"), F.col("least").alias("whole"))
     lacks = earliest.where("i > 0").groupBy(F.col("key").alias("lk")).agg(F.min("least").alias("lacks"))
     same = earliest.where("i > 0").select(F.col("key").alias("sk"), F.col("i").alias("si"), "least")
@@ -95,8 +100,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = met.join(texts.select(F.col("pos").alias("p"), "h1", "h2", "words"), F.col("pos") == F.col("p")).join(other, F.col("witness") == F.col("op")).where(within_one_edit(F.col("words"), F.col("other")))
     near = verified.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.lit(True).alias("near")).distinct()
 
-    firsts = distinct.join(near, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left").where("n > 1 or near").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurrences.select("doc", "at", "pos", "h1", "h2").join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
+    firsts = distinct.join(small_side(cut(near)), (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left").where("n > 1 or near").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = occurrences.select("doc", "at", "pos", "h1", "h2").join(small_side(cut(firsts)), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     return gone.where("near or pos > first").select("doc", "at", (F.col("near") & (F.col("pos") == F.col("first"))).alias("near"))
 
 
@@ -113,7 +118,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     split = F.split(F.col(text_col), "\n")
     left = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
     has_word = F.filter(split, lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
-    out = docs.join(by_doc, F.col(id_col) == F.col("__doc"), "left")
+    out = docs.join(small_side(cut(by_doc), lists="__gone"), F.col(id_col) == F.col("__doc"), "left")
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(has_word)).cast("long"), "n_exact": F.coalesce("__exact", F.lit(0)).cast("long"), "n_near": F.coalesce("__near", F.lit(0)).cast("long")}
     return out.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in counts.items()))
 
