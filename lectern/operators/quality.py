@@ -163,7 +163,7 @@ def author_flags(authors: Column) -> Column:
     return F.concat(each, _list((F.size(authors) > 4, F.concat(F.lit("AUTHOR_CROWD:"), F.size(authors))), (F.size(authors) == 0, "AUTHOR_MISSING")))
 
 
-def comment_flags(comment: Column, words: DataFrame | None = None) -> Column:
+def comment_flags(comment: Column) -> Column:
     """Flags of a description, as plain text."""
     text = F.coalesce(plain_text(comment), F.lit(""))
     n = F.length(text)

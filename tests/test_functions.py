@@ -2,7 +2,6 @@ import io
 import struct
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import display, files, isbn
