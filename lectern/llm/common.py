@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,7 +81,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
-
-
-def parts_for(n_bytes: int, each: int, least: int = 1) -> int:
-    return max(least, math.ceil(n_bytes / each))
