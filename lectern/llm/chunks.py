@@ -73,8 +73,8 @@ class IdStore:
         return np.fromiter((rows[c] for c in chunks), np.int64, len(chunks))
 
     def _encode(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
+        for at in range(0, len(chunks), 4_000):  # an encoding is large, and kept only until its ids are taken
+            part = chunks[at : at + 4_000]
             ids = self.encode(part)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(part, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())), length)

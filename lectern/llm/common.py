@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a kernel works on at a time; bounds its temporary arrays.
 SLICE_CHARS = 4_000_000
+#: The same for kernels with several numbers for each character.
+LIGHT_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +75,21 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS) -> Iterat
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker at rest, or in another stage, does not hold on to it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
     """fn over runs of rows of bounded text size, in Arrow."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
+            release()
 
     return df.mapInArrow(run, schema)

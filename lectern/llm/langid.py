@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out, map_batches, slices
+from lectern.llm.common import LIGHT_CHARS, held_out, map_batches, release, slices
 
 ORDER, DIMS, SEED = 3, 512, 42
 UNKNOWN = "und"
@@ -67,13 +67,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     def run(batches):
         letters, sums = Letters(dims), {}
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, LIGHT_CHARS):
                 vectors, codes, _ = letters.ngrams(batch.column(0).to_pylist())
                 langs = batch.column(1).to_pylist()
                 for lang in set(langs):
                     own = [c for c, x in zip(codes, langs) if x == lang]
                     counts = np.bincount(np.concatenate(own), minlength=len(vectors)).astype(np.float64)
                     sums[lang] = sums.get(lang, 0) + counts @ vectors
+            release()
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], names=["lang", "at", "v"])
 
@@ -115,7 +116,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
 
     cache: list = []
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {names[0]} string, {names[1]} double"
-    return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema, "__text")
+    return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema, "__text", LIGHT_CHARS)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = DIMS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lectern.llm.chunks import IdStore, chunked
-from lectern.llm.common import slices
+from lectern.llm.common import release, slices
 
 TIERS = (64, 128, 256, 512, 1024, 2048)
 END_ID = 1
@@ -172,8 +172,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     cut = n - n % longest
                     full += [[(doc, at, at + longest)] for at in range(0, cut, longest)]
                     pool.add(doc, cut, n)
+                del found, texts, places
                 if windows := full + fill(pool, tiers):
                     yield out(windows)
+                del full, windows
+            release()
         if windows := flush(pool, tiers):
             yield out(windows)
 
