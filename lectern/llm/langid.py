@@ -4,6 +4,10 @@ Every letter has a random vector of signs. An n-gram's vector binds its letters'
 behind it (a cyclic shift), by multiplication; a text's profile is the sum of its n-grams' vectors, and a language's prototype
 the sum of its training texts'. A text gets the language whose prototype has the largest cosine with its profile. Prototypes
 are centred on their mean first, so that what all languages share does not count.
+
+Centred prototypes cannot tell that a text is unlike all of them, as some cosine is always positive. So whether a text is in a
+known language at all is judged by the prototypes as they are, and by a floor for texts of its length: the longer a text, the
+more it resembles its language.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from lectern.llm.common import LIGHT_CHARS, held_out, map_batches, release, slic
 
 ORDER, DIMS, SEED = 3, 512, 42
 UNKNOWN = "und"
+#: Of the labelled rows, the share that the floors may drop; no floor is set on fewer rows than can show such a share.
+LOSS = 0.005
+LEAST_ROWS, BINS, SIZES = round(1 / LOSS), 1000, 64
 
 
 class Letters:
@@ -60,9 +67,21 @@ class Letters:
         return first[grams // (n * n)] * second[grams // n % n] * base[grams % n], [codes[a:b] for a, b in zip(ends[:-1], ends[1:])], has
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = DIMS) -> tuple[list[str], np.ndarray]:
-    """The languages and their centred prototypes, of unit length, out of all rows with a text and a language. What comes to
-    the driver is a vector for each language."""
+def cosines(letters: Letters, texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each text has, and its cosine with each prototype; 0 for texts that are null or have no letter."""
+    vectors, codes, has = letters.ngrams(texts)
+    dots, vectors = vectors @ prototypes.T, vectors.astype(np.float32)
+    sizes, found = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(prototypes)))
+    for i in np.flatnonzero(has).tolist():
+        distinct, counts = np.unique(codes[i], return_counts=True)
+        length = float(np.linalg.norm(counts.astype(np.float32) @ vectors[distinct]))
+        sizes[i], found[i] = len(codes[i]), counts @ dots[distinct] / max(length, 1e-12)
+    return sizes, found
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = DIMS) -> tuple[list[str], np.ndarray]:
+    """The languages and their prototypes, of unit length, out of all rows with a text and a language. What comes to the driver
+    is a vector for each language."""
 
     def run(batches):
         letters, sums = Letters(dims), {}
@@ -84,9 +103,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
     if not found:
         return [], np.empty((0, dims))
     raw = np.array([[x["v"] for x in r["v"]] for r in found])
-    unit = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+    return [r["lang"] for r in found], raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = DIMS) -> tuple[list[str], np.ndarray]:
+    """What learn() finds, the prototypes centred."""
+    langs, unit = learn(docs, text_col, lang_col, dims)
     centred = unit - unit.mean(0) if len(unit) > 1 else unit
-    return [r["lang"] for r in found], centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+    return langs, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -98,20 +122,16 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
         letters = cache[0] if cache else Letters(dims)
         cache[:] = [letters]
         texts = batch.column(len(keep)).to_pylist()
-        vectors, codes, has = letters.ngrams(texts)
-        dots, vectors = vectors @ prototypes.T, vectors.astype(np.float32)
+        sizes, found = cosines(letters, texts, prototypes)
         said, scores = [], []
-        for text, own, ok in zip(texts, codes, has.tolist()):
-            if text is None or not ok or not langs:
+        for size, own in zip(sizes.tolist(), found):
+            if not size or not langs:
                 said.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            distinct, counts = np.unique(own, return_counts=True)
-            length = float(np.linalg.norm(counts.astype(np.float32) @ vectors[distinct]))
-            cosines = counts @ dots[distinct] / max(length, 1e-12)
-            best = int(cosines.argmax())
+            best = int(own.argmax())
             said.append(langs[best])
-            scores.append(min(1.0, max(0.0, float(cosines[best]))))
+            scores.append(min(1.0, max(0.0, float(own[best]))))
         return pa.record_batch([*batch.columns[: len(keep)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     cache: list = []
@@ -128,11 +148,60 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(own, langs, prototypes, [id_col, "held_out"], text_col)
 
 
+def floors(counts: np.ndarray, loss: float = LOSS, least_rows: int = LEAST_ROWS) -> np.ndarray:
+    """The floor for each size out of counts of rows by size and score (the rows and columns): the highest that drops at most
+    the share loss of a size's rows. A size with fewer than least_rows rows is taken together with the next smaller ones, whose
+    scores are lower, until there are as many; where they don't suffice the floor is 0."""
+    out = np.zeros(len(counts))
+    for size in range(len(counts)):
+        pool, at = counts[size].copy(), size
+        while pool.sum() < least_rows and at:
+            at -= 1
+            pool += counts[at]
+        if pool.sum() >= least_rows:
+            out[size] = int(np.argmax(np.cumsum(pool) > loss * pool.sum())) / counts.shape[1]
+    return out
+
+
+def calibrate(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """Floors by the bit length of a text's number of n-grams, out of the cosines of all rows with the prototype of the language
+    that they are labelled with."""
+    dims, place = prototypes.shape[1], {lang: i for i, lang in enumerate(langs)}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        letters = cache[0] if cache else Letters(dims)
+        cache[:] = [letters]
+        sizes, found = cosines(letters, batch.column(0).to_pylist(), prototypes)
+        own = found[np.arange(len(sizes)), [place[x] for x in batch.column(1).to_pylist()]]
+        bits, bins = np.array([int(n).bit_length() for n in sizes], np.int32), np.clip(own * BINS, 0, BINS - 1).astype(np.int32)
+        return pa.record_batch([pa.array(bits[sizes > 0]), pa.array(bins[sizes > 0])], names=["size", "bin"])
+
+    cache: list = []
+    rows = docs.select(text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    counts = np.zeros((SIZES, BINS), np.int64)
+    for r in map_batches(rows, run, "size int, bin int", text_col, LIGHT_CHARS).groupBy("size", "bin").count().collect():
+        counts[r["size"], r["bin"]] = r["count"]
+    return floors(counts)
+
+
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", above: float = 0.0, dims: int = DIMS) -> DataFrame:
-    """The rows of docs, whole, whose language is known and has a score above `above`: texts no nearer to any
-    language than chance go. Learns as identify() does; without
+    """The rows of docs, whole, that are in some known language: whose cosine with the nearest prototype, not centred, is above
+    `above` and not under the floor for texts of that length. Learns prototypes and floors from the rows that identify() learns
+    from; the floors drop at most LOSS of them. Where fewer than LEAST_ROWS of them are as short, `above` alone counts; without
     training rows nothing is dropped but texts that are null or have no letter."""
-    langs, prototypes = train(docs.where(~held_out(id_col, 3, 1)), text_col, lang_col, dims)
-    said = predict(docs, langs, prototypes, docs.columns, text_col, ("__lang", "__score"))
-    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") > above) if langs else F.regexp_like(text_col, F.lit(r"\p{L}"))
-    return said.where(known).select(*docs.columns)
+    training = docs.where(~held_out(id_col, 3, 1))
+    langs, prototypes = learn(training, text_col, lang_col, dims)
+    if not langs:
+        return docs.where(F.regexp_like(text_col, F.lit(r"\p{L}")))
+    least = calibrate(training, langs, prototypes, text_col, lang_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        letters = cache[0] if cache else Letters(dims)
+        cache[:] = [letters]
+        sizes, found = cosines(letters, batch.column(text_col).to_pylist(), prototypes)
+        best = found.max(1)
+        return batch.filter(pa.array((sizes > 0) & (best > above) & (best >= least[[int(n).bit_length() for n in sizes]])))
+
+    cache: list = []
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+    return map_batches(docs, run, schema, text_col, LIGHT_CHARS)

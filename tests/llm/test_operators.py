@@ -281,6 +281,25 @@ def test_languages(spark, docs, rows, none):
     assert kept.where("doc_id >= 10").count() == sum(r[0] is not None and r[0] >= 10 for r in rows)
 
 
+def test_unknown_languages_go(spark):
+    vocabularies = {
+        "en": WORDS, "fr": "le la les des une dans pour avec être qui est sur pas plus".split(),
+        "de": "der die und das nicht ein eine mit sich auf für ist dem werden auch nach".split(),
+    }
+    rng = np.random.default_rng(6)
+    noise = lambda alphabet: "".join(rng.choice(list(alphabet), 700))
+    clean = [(i, prose(i, 120, v), k) for i, (k, v) in enumerate(list(vocabularies.items()) * 300)]
+    code = "def f(x):\n    for k, v in x.items():\n        yield (k << 3) ^ v, {k: [v]}\n" * 20
+    finnish = prose(1, 120, "ja on ei että hän mutta oli kun niin myös vain kuin sitä ovat joka tai".split())
+    planted = [code, finnish] + [noise(a) for a in ("abcdefghijklmnopqrstuvwxyz   ", "абвгдежзиклмноп   ", "qxzjkvw ") for _ in range(4)]
+    own = clean + [(5000 + i, t, None) for i, t in enumerate(planted)] + [(6000, None, "en"), (6001, "12 !", "en")]
+    kept = {r["doc_id"] for r in langid.keep_known(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
+    assert not [i for i in kept if i >= 5000] and len(kept) >= 0.98 * len(clean)
+    counts = np.zeros((4, 10), int)
+    counts[1, 5], counts[2, 7], counts[2, 2], counts[3, 9] = 100, 998, 2, 1
+    assert langid.floors(counts, 0.005, 200).tolist() == [0, 0, 0.7, 0.7]
+
+
 def naive_ppm(rows, order=ppm.ORDER):
     low = lambda t: (t or "").encode().lower()
     training = [t for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
