@@ -1,7 +1,7 @@
 """URL filters: host and path rules, carried over to aliases.
 
 Redirects (a page's meta refresh) and canonical links are edges between URLs; what they connect is one class, found as a
-connected component. A URL that fits a rule gets that rule's verdict. Another is blocked if its class holds a blocked URL and
+connected component. They may be relative to the page's URL, or to its base element. A URL that fits a rule gets that rule's verdict. Another is blocked if its class holds a blocked URL and
 none that is explicitly allowed: an allow takes precedence.
 """
 
@@ -33,10 +33,38 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), the value written into the plan once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _query_of(url: Column) -> Column:
+    return F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with / without its . and .. segments."""
+    held = F.array(F.lit(None).cast("string"))  # a null, which array_join passes over, and the blank before the first /
+    step = lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(2)))).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.array_join(F.aggregate(F.split(path, "/"), held, step), "/"), end)).otherwise(path)
+
+
 def key_of(url: Column) -> Column:
-    """A URL as a node: host, path and query; null without a host."""
-    host, query = host_of(url), F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(host, path_of(url), query))
+    """A URL as a node: host, path (/ if empty, without dot segments) and query; null without a host."""
+    host, path = host_of(url), path_of(url)
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(_without_dots(path)), _query_of(url)))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The URL that a reference on the page at url names, dot segments and all; null for what has a scheme but no ://."""
+    scheme, path = F.regexp_extract(url, r"^[^:/?#]*", 0), F.regexp_replace(path_of(url), "^$", "/")
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("#"), F.concat(site, path, _query_of(url), to)).otherwise(F.concat(site, F.regexp_extract(path, r"^.*/", 0), to))
+    )
 
 
 def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -55,14 +83,18 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) keys of each page's URL and of what its canonical link and its meta refresh name."""
     html = F.col(html_col)
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*", 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*", 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    href = r"(?i)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*[\s\"'/]rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?=[\s\">])|'(?:[^'>]*\s)?canonical(?=[\s'>])|canonical(?=[\s/>]))[^>]*", 0), href, 1)
+    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*", 0), r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     lowered = F.lower(html)
-    found = pages.where(lowered.contains("canonical") | lowered.contains("refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("to"))
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract("url", r"^[^:/?#]*", 0)
-    full = F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), to))
-    return found.where(F.col("to") != "").select(key_of(F.col("url")).alias("src"), key_of(full).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    base = F.regexp_extract(F.regexp_extract(html, r"(?i)<base\b[^>]*", 0), href, 1)
+    plain = lambda to: F.replace(to, F.lit("&amp;"), F.lit("&"))
+    found = pages.where(lowered.contains("canonical") | lowered.contains("refresh")).select(F.col(url_col).alias("url"), base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to"))
+    # Each step is bound, as the next one names it many times and the filter would copy it each time.
+    based = _bound(plain(F.col("base")), lambda b: resolved(F.col("url"), b))
+    page = F.when(F.col("base") != "", F.coalesce(based, "url")).otherwise(F.col("url"))
+    goal = _bound(page, lambda p: _bound(plain(F.col("to")), lambda t: _bound(resolved(p, t), key_of)))
+    return found.where(F.col("to") != "").select(key_of(F.col("url")).alias("src"), goal.alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

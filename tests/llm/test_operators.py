@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -226,6 +227,21 @@ def test_urls(spark):
     assert {r["page_id"] for r in urls.judge(table, redirects=more).where("verdict = 'block'").collect()} == {1, 2, 3, 5, 6, 10, 12}
 
 
+def test_urls_relative(spark):
+    bases = ["http://h.net", "http://h.net/", "http://h.net/a/b/c?q=1#f", "HTTP://h.net/a/b/", "http://h.net/x/../a"]
+    targets = ["page2.html", "?id=3", "../x", "sub/y", "./z", ".", "..", "../../../up", "/a/../b/.", "/b", "//m.net/p/./q", "http://m.net", "d?u=http://k.net/&v=../w", "#top", "a..b/...", "/"]
+    pairs = spark.createDataFrame([(b, t, urllib.parse.urljoin(b, t)) for b in bases for t in targets], "b string, t string, joined string")
+    for r in pairs.select("b", "t", urls._bound(urls.resolved(F.col("b"), F.col("t")), urls.key_of).alias("got"), urls.key_of(F.col("joined")).alias("want")).collect():
+        assert r["got"] == r["want"] and "/./" not in r["got"] and "/../" not in r["got"].split("?")[0], r
+    pages = [
+        (1, "http://b.com/de/x", None), (2, "http://q.net/dir/two", '<link rel="alternate canonical" href="one?a=1&amp;b=2">'), (3, "http://q.net/dir/one?a=1&b=2", '<link rel="canonical" href="http://b.com/de/x">'),
+        (4, "http://q.net", '<meta http-equiv="refresh" content="0; url=dir/two">'), (5, "http://q.net/k/l", "<link rel=canonical href=../>"), (6, "http://r.net/s/t", "<link rel=canonical href='?id=3'>"),
+        (7, "http://r.net/s/t?id=3", '<base href="http://q.net/dir/"><link href=two rel=canonical>'), (8, "http://q.net/mail", "<link rel=canonical href=mailto:a@b.com/de/x>"), (9, "http://q.net/no", '<link rel="canonicals" href="dir/two"><link rel="next" href="dir/two">'),
+    ]
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("verdict = 'block'").collect()
+    assert {r["page_id"] for r in found} == {1, 2, 3, 4, 5, 6, 7}
+
+
 def edits(a, b):
     """Word edit distance."""
     row = list(range(len(b) + 1))
