@@ -281,6 +281,18 @@ def drift_fields(spark, sf_dir):
     return quality.drift(rows, "PDF").select("id", F.array_join("drift", ",").alias("drift")).where("drift <> ''")
 
 
+@query("SELECT c_custkey AS id, concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'series' END, CASE WHEN c_custkey % 5 = 0 THEN 'tags' END, CASE WHEN c_custkey % 7 = 0 THEN 'identifiers' END, CASE WHEN c_custkey % 4 IN (0, 1) THEN 'comments' END) AS drift FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 4 IN (0, 1)")
+def drift_fields_epub(spark, sf_dir):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text, number = F.repeat(F.concat(name, F.lit(" ")), 30), k.cast("string")
+    stored = F.struct(name.alias("title"), F.array(F.lit("A B")).alias("authors"), name.alias("series"), F.lit("2").alias("series_index"), F.col("c_mktsegment").alias("publisher"), F.lit("2020-01-02").alias("pubdate"), F.array(F.lit("eng")).alias("languages"), F.array(F.lit("x"), name).alias("tags"), F.create_map(F.lit("isbn"), number).alias("identifiers"), F.concat(F.lit("<p>"), text, F.lit("</p>")).alias("comments"))
+    # Comments: none, another end after 500 characters, a prefix of 100, the same.
+    comments = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.substring(text, 1, 500), F.lit("another end"))).when(k % 4 == 2, F.substring(text, 1, 100)).otherwise(text)
+    held = {"title": name, "author(s)": F.lit("A B"), "series": F.concat(name, F.when(k % 3 == 0, " #3").otherwise(" #2.0")), "publisher": F.col("c_mktsegment"), "published": F.lit("2020-01-02T00"), "languages": F.lit("eng"), "tags": F.when(k % 5 == 0, "x").otherwise(F.concat(name, F.lit(", X"))), "identifiers": F.concat(F.lit("ean:1, isbn:"), F.when(k % 7 == 0, "x").otherwise(number)), "comments": comments}
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), stored.alias("db"), F.create_map(*(x for n, v in held.items() for x in (F.lit(n), v))).alias("file"))
+    return quality.drift(rows, "EPUB").select("id", F.array_join("drift", ",").alias("drift")).where("drift <> ''")
+
+
 _DIGITS = "lpad(p_partkey::VARCHAR, 9, '0')"
 _SUM10 = " + ".join(f"{10 - i} * substr({_DIGITS}, {i + 1}, 1)::INT" for i in range(9))
 _SUM13 = " + ".join(f"{3 if i % 2 else 1} * substr('978' || {_DIGITS}, {i + 1}, 1)::INT" for i in range(12))

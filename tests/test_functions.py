@@ -117,6 +117,15 @@ def test_drift(spark):
     assert found == [[], list(quality.DRIFT_FIELDS["EPUB"]), ["series", "identifiers"]]
 
 
+def test_drift_comments(spark):
+    long = "word " * 60
+    rows = [(long + "one end", long + "another"), (long + "one end", "<p>word word"), (long, long), ("", "word"), ("word", ""), ("a word", "word"), (None, None), (long, long + "more")]
+    kind = "db struct<title:string,authors:array<string>,series:string,series_index:string,publisher:string,pubdate:string,languages:array<string>,tags:array<string>,identifiers:map<string,string>,comments:string>, file map<string,string>"
+    found = spark.createDataFrame([((None, [], None, None, None, None, [], [], {}, a), {"comments": b}) for a, b in rows], kind)
+    for fmt in ("EPUB", "AZW3", "MOBI"):
+        assert ["comments" in r["drift"] for r in quality.drift(found, fmt).collect()] == [True, False, False, True, True, True, False, True]
+
+
 def test_review(spark):
     lines = spark.createDataFrame([("id,title,author,comment,note",), ("1,OK,bad,OK,wrong, see there",), ("# x",), ("2\tOK\tOK\tOK",), ("x,OK,OK,OK",), ("3,OK",), ("4,OK,OK,maybe",), ("",)], "value string")
     found = {r["id"]: r for r in quality.parse_verdicts(lines).where("error is null").collect()}
