@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import compress, langid, linededup, packing, simhash
-from lectern.llm.common import cut, table
+from lectern.llm.common import cut, drop_scratch, table, tidy
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats, or nearly, go; so do documents that lose all their lines."""
     out = linededup.dedup(docs)
+    n_lines, n_exact, n_near = (F.col(c) for c in out.columns[-3:])
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.where("n_lines = 0 or n_lines > n_exact + n_near").select(*columns)
+    return out.where((n_lines == 0) | (n_lines > n_exact + n_near)).select(*columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the documents; every stage but the last is written as Parquet and read again."""
+    """The stages in turn over the documents; every stage but the last is written as Parquet and read again. What a stage wrote
+    is deleted once the next one has ended."""
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = cut(docs)
+        if at + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with tidy() as keep:
+            docs = keep(cut(stage(spark, before, sf_dir)))
+        drop_scratch(before)
     return docs
