@@ -3,8 +3,8 @@
 Each document gives its full windows of the longest tier; what remains is routed to the shortest tier that holds it. Each tier
 is packed, longest first: a window takes one remainder of its own tier, and its gap is filled from shorter tiers, the largest
 that fits first, and at last by cutting one. So windows are full at their tier's length. Remainders that find no company wait
-for the next documents of the task; at its end they are laid end to end and cut at tier lengths, and only the last few tokens
-of a task stay a short sequence. Sequences of one tier go to step groups of equal tokens, dealt so that attention cost (the sum
+for the next documents of the task; at its end they are laid end to end and cut at tier lengths, the last few tokens at powers
+of two, so nothing is padded. Sequences of one tier go to step groups of equal tokens, dealt so that attention cost (the sum
 of squared piece lengths) is even. A task packs on its own: nothing is shuffled, and a task that runs again gives the same.
 """
 
@@ -14,6 +14,7 @@ import bisect
 import os
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lectern.llm.chunks import IdStore, chunked
-from lectern.llm.common import release, slices
+from lectern.llm.chunks import Encoder, IdStore, chunked
+from lectern.llm.common import in_arrow, release, schema_of, slices, worker_held
 
 TIERS = (64, 128, 256, 512, 1024, 2048)
 END_ID = 1
@@ -87,12 +88,13 @@ def fill(pool: Pool, tiers: tuple[int, ...] = TIERS) -> list[list]:
 
 
 def flush(pool: Pool, tiers: tuple[int, ...] = TIERS) -> list[list]:
-    """All that waits, end to end, cut at tier lengths, longest first; the last window may be short."""
+    """All that waits, end to end, cut at tier lengths, longest first, and what is left under the shortest at powers of two; so
+    every window is full."""
     windows, rest = [], pool.drain()
     left = sum(stop - start for _, start, stop in rest)
     rest.reverse()
     while left:
-        room = next((t for t in tiers[::-1] if t <= left), left)
+        room = next((t for t in tiers[::-1] if t <= left), 1 << left.bit_length() - 1)
         left -= room
         window = []
         while room:
@@ -106,80 +108,111 @@ def flush(pool: Pool, tiers: tuple[int, ...] = TIERS) -> list[list]:
     return windows
 
 
-def step_groups(windows: list[list], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """A group number for each window: windows of a group have one length, and groups of a length an even cost."""
-    groups, by_length, made = [0] * len(windows), defaultdict(list), 0
-    for i, w in enumerate(windows):
-        by_length[sum(stop - start for _, start, stop in w)].append(i)
-    for n, own in sorted(by_length.items()):
-        count = -(-len(own) * n // step_tokens)
-        own.sort(key=lambda i: -sum((stop - start) ** 2 for _, start, stop in windows[i]))
-        for k, i in enumerate(own):
-            lap, at = divmod(k, count)
-            groups[i] = made + (count - 1 - at if lap % 2 else at)
-        made += count
-    return groups
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+def tokens(window: list) -> int:
+    return sum(stop - start for _, start, stop in window)
+
+
+class StepGroups:
+    """Deals windows to step groups: all of a group have one length and together step_tokens tokens. Windows that do not fill
+    a group yet wait for more of their length; only the last group of a length may be smaller."""
+
+    def __init__(self, step_tokens: int = STEP_TOKENS):
+        self.step_tokens, self.made = step_tokens, 0
+        self.waiting: dict[int, list[list]] = defaultdict(list)
+
+    def deal(self, windows: list[list], last: bool = False) -> list[tuple[int, list]]:
+        """(group, window) for all that now has a group; groups that are made together have an even attention cost."""
+        for w in windows:
+            self.waiting[tokens(w)].append(w)
+        out = []
+        for n, own in sorted(self.waiting.items()):
+            each = max(1, self.step_tokens // n)
+            count = -(-len(own) // each) if last else len(own) // each
+            now, self.waiting[n] = own[: count * each], own[count * each :]
+            now.sort(key=lambda w: -sum((stop - start) ** 2 for _, start, stop in w))
+            for k, w in enumerate(now):
+                lap, at = divmod(k, count)
+                out.append((self.made + (count - 1 - at if lap % 2 else at), w))
+            self.made += count
+        return out
+
+
+def _id_store(path: str, special_as_text: bool) -> IdStore:
+    """One for each worker: chunks that one task has met need no tokenizing in the next."""
+    held, key = worker_held(), ("ids", path, special_as_text)
+    if key not in held:
+        held[key] = IdStore(Encoder(path, special_as_text))
+    return held[key]
+
+
+def encoded(store: IdStore, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text."""
+    encode = store.encode
+    quick = encode.quick(texts)
+    slow = texts.filter(pa.array(~quick))
+    if not len(slow):
+        places, each = None, iter(())
+    elif encode.chunks:
+        found, codes = chunked(slow, encode.taken_out)
+        places, each = store.places(found), iter(codes)
+    else:
+        places, each = store.places([t or "" for t in slow.to_pylist()]), iter(np.arange(len(slow))[:, None])
+    for ok, text in zip(quick.tolist(), texts.to_pylist()):
+        yield encode.by_ranks.encode_to_numpy(text or "", disallowed_special=()) if ok else store.ids(places[next(each)])
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """A row for each piece: id_col, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset
-    in the sequence, tier (the sequence's length once padded) and step_group; with_ids adds the piece's ids.
+    in the sequence, tier (the sequence's length) and step_group; with_ids adds the piece's ids.
 
-    tokenizer: a file for the tokenizers library. Each text's ids are followed by END_ID. A null text is empty, and packs as
-    END_ID alone. Repeated rows, and rows with a null id, are packed each on their own. Other columns are not looked at; an
-    empty table gives no piece."""
+    tokenizer: a file for the tokenizers library. Each text's ids are followed by END_ID. special_as_text: whether a special
+    token's string in a text is ordinary text; the library's own way is that it is the special token. A null text is empty, and
+    packs as END_ID alone. A text of any length gives as many windows as it fills. Repeated rows, and rows with a null id, are
+    packed each on their own; remainders of equal length are taken latest first. Other columns are not looked at; an empty
+    table gives no piece."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    kind = docs.schema[id_col].dataType.simpleString()
     longest = tiers[-1]
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        store = IdStore(lambda part: [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)])
-        base, made, groups, pool = TaskContext.get().partitionId() << 40, 0, 0, Pool()
+        store = _id_store(path, special_as_text)
+        base, made, pool, steps = TaskContext.get().partitionId() << 40, 0, Pool(), StepGroups(step_tokens)
 
-        def out(windows):
-            nonlocal made, groups
-            group = step_groups(windows, step_tokens)
+        def out(dealt):
+            nonlocal made
             cols: list[list] = [[] for _ in range(10)]
-            for window, g in zip(windows, group):
-                offset, total = 0, sum(stop - start for _, start, stop in window)
-                for (doc_id, ids), start, stop in window:
-                    piece = ids[start:stop]
-                    row = (doc_id, start, stop - start, zlib.crc32(piece.tobytes()), len(ids), base + made, offset, total if total in tiers else longest, base + groups + g, piece)
+            for group, window in dealt:
+                offset, total = 0, tokens(window)
+                for (doc_id, n, first, ids), start, stop in window:
+                    piece = ids[start - first : stop - first]
+                    row = (doc_id, start, stop - start, zlib.crc32(piece), n, base + made, offset, total, base + group, piece)
                     for c, v in zip(cols, row):
                         c.append(v)
                     offset += stop - start
                 made += 1
-            groups += max(group, default=-1) + 1
             arrays = [pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.int64())]
             if with_ids:
                 arrays.append(pa.array(cols[9], pa.list_(pa.int32())))
             return pa.record_batch(arrays, names=names)
 
+        id_type = None
         for whole in batches:
             id_type = whole.column(0).type
             for batch in slices(whole, text_col):
-                found, texts = chunked(batch.column(1))
-                places = store.places(found)
                 full = []
-                for doc_id, codes in zip(batch.column(0).to_pylist(), texts):
-                    doc = (doc_id, np.append(store.ids(places[codes]), END_ID).astype("<u4"))
-                    n = len(doc[1])
+                for doc_id, own in zip(batch.column(0).to_pylist(), encoded(store, batch.column(1))):
+                    ids = np.append(own, END_ID).astype("<u4")
+                    n = len(ids)
                     cut = n - n % longest
-                    full += [[(doc, at, at + longest)] for at in range(0, cut, longest)]
-                    pool.add(doc, cut, n)
-                del found, texts, places
-                if windows := full + fill(pool, tiers):
-                    yield out(windows)
-                del full, windows
+                    full += [[((doc_id, n, 0, ids), at, at + longest)] for at in range(0, cut, longest)]
+                    pool.add((doc_id, n, cut, ids[cut:].copy() if cut else ids), cut, n)
+                if dealt := steps.deal(full + fill(pool, tiers)):
+                    yield out(dealt)
+                del full, dealt
             release()
-        if windows := flush(pool, tiers):
-            yield out(windows)
+        if dealt := steps.deal(flush(pool, tiers), last=True):
+            yield out(dealt)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = schema_of([docs.schema[id_col]], ", ".join(f"{name} {dict(tier='int', ids='array<int>').get(name, 'long')}" for name in names[1:]))
+    return in_arrow(docs.select(id_col, text_col), run, schema)
