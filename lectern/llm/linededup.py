@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, small_side
+from lectern.llm.common import cut, free_name, small_side, tidy
 
 #: Lines of fewer words are compared exactly only.
 MIN_WORDS = 8
@@ -29,6 +29,13 @@ def _position(doc: str, line: str) -> Column:
     return (F.col(doc).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col(line)).cast("decimal(30,0)")
 
 
+def _place(position: str, doc: str = "d", line: str = "a") -> tuple[Column, Column]:
+    """The document and the place in it that a position stands for."""
+    unit = F.lit(2**31).cast("decimal(10,0)")
+    at = F.pmod(F.col(position), unit)
+    return ((F.col(position) - at) / unit).cast("decimal(19,0)").alias(doc), at.cast("int").alias(line)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, at, line): a row for each \\n-split line that has a word, of documents with an id; its words with one blank between."""
     split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
@@ -75,24 +82,30 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = distinct.where("p0 is not null").select("h1", F.explode(F.array(*(F.struct(F.lit(c[0] == "p").alias("front"), F.col(c).alias("key")) for c in halves))).alias("e")).select("h1", "e.front", "e.key")
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(F.col("key").alias("k"))
     marked = keys.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy(F.col("h1").alias("m1")).agg(F.max("front").alias("front"), F.min("front").alias("all_front"))
-    suspects = cut(distinct.join(marked, F.col("h1") == F.col("m1")).select(F.col("h1").alias("s1"), "h2", F.col("first").alias("pos"), "front", (~F.col("all_front")).alias("back")))
-    told = lines(docs, id_col, text_col).withColumn("h1", F.xxhash64("line"))
-    texts = told.join(small_side(suspects), F.col("h1") == F.col("s1")).where(_position("doc", "at") == F.col("pos")).select("pos", "h1", "h2", "front", "back", F.split("line", " ").alias("words")).dropDuplicates(["pos"])
-    texts = cut(texts)
+    suspects = distinct.join(marked, F.col("h1") == F.col("m1")).select(F.col("h1").alias("s1"), "h1", "h2", F.col("first").alias("pos"), "front", (~F.col("all_front")).alias("back"), *_place("first"))
+    suspects = cut(suspects)
+    # A suspect's words are those of its first place. Lines meet suspects by place, of which each is one line, so a line that
+    # many documents share is no hot key.
+    texts = lines(docs, id_col, text_col).join(small_side(suspects), (F.col("doc") == F.col("d")) & (F.col("at") == F.col("a")))
+    texts = cut(texts.where(F.xxhash64("line") == F.col("s1")).select("pos", "h1", "h2", "front", "back", F.split("line", " ").alias("words")).dropDuplicates(["pos"]))
 
     # The line itself is variant 0; without its i-th word it is variant i. Where only the first halves agree with another line,
     # the edit is behind them; where only the last ones do, it is before them.
+    # A variant is known by 96 bits, so that the earliest line that has it is one that is near, and not one of a like hash.
+    keyed = lambda *parts: (F.xxhash64(*parts).alias("key"), F.hash(*parts).alias("check"))
     n, w = F.size("words"), F.col("codes")
     low, high = F.when(F.col("back"), 1).otherwise(F.floor((n - 1) / 2).cast("int") + 1), F.when(F.col("front"), n).otherwise(F.floor(n / 2).cast("int"))
-    lacking = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n)).alias("key")))
+    lacking = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), *keyed(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))))
     coded = texts.withColumn("codes", F.transform("words", lambda x: F.xxhash64(x)))
-    variants = cut(coded.select("pos", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(w).alias("key"))), lacking)).alias("v")).select("pos", "v.i", "v.key"))
-    earliest = cut(variants.groupBy("key", "i").agg(F.min("pos").alias("least")))
-    whole = earliest.where("i = 0").select(F.col("key").alias("wk"), F.col("least").alias("whole"))
-    lacks = earliest.where("i > 0").groupBy(F.col("key").alias("lk")).agg(F.min("least").alias("lacks"))
-    same = earliest.where("i > 0").select(F.col("key").alias("sk"), F.col("i").alias("si"), "least")
+    variants = cut(coded.select("pos", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), *keyed(w))), lacking)).alias("v")).select("pos", "v.*"))
+    earliest = cut(variants.groupBy("key", "check", "i").agg(F.min("pos").alias("least")))
+    whole = earliest.where("i = 0").select(F.col("key").alias("wk"), F.col("check").alias("wc"), F.col("least").alias("whole"))
+    lacks = earliest.where("i > 0").groupBy(F.col("key").alias("lk"), F.col("check").alias("lc")).agg(F.min("least").alias("lacks"))
+    same = earliest.where("i > 0").select(F.col("key").alias("sk"), F.col("check").alias("sc"), F.col("i").alias("si"), "least")
     met = (
-        variants.join(same, (F.col("key") == F.col("sk")) & (F.col("i") == F.col("si")), "left").join(whole, (F.col("key") == F.col("wk")) & (F.col("i") > 0), "left").join(lacks, (F.col("key") == F.col("lk")) & (F.col("i") == 0), "left")
+        variants.join(same, (F.col("key") == F.col("sk")) & (F.col("check") == F.col("sc")) & (F.col("i") == F.col("si")), "left")
+        .join(whole, (F.col("key") == F.col("wk")) & (F.col("check") == F.col("wc")) & (F.col("i") > 0), "left")
+        .join(lacks, (F.col("key") == F.col("lk")) & (F.col("check") == F.col("lc")) & (F.col("i") == 0), "left")
         .withColumn("witness", F.explode(F.array("least", "whole", "lacks")))
         .where("witness < pos").select("pos", "witness").distinct()
     )
@@ -106,21 +119,32 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with all its columns, its text without the lines that go, and n_lines (with a word), n_exact and n_near (gone).
+    """docs with all its columns, its text without the lines that go, and n_lines (with a word), n_exact and n_near (gone); an
+    underscore follows these names where docs has them already.
 
     A line goes if an earlier one, by document id and place, has the same words, or is one word edit away and both have at
     least min_words words (n_near counts the first of its kind, n_exact the copies). White space between words does not count;
     the lines that stay are unchanged, and lines without a word stay. Null texts stay null; documents with a null id stay
-    whole and make no other line go. Rows that repeat an id are one document: their lines tie, and ties stay. A document may
-    lose all its lines; its text is then empty. An empty table gives an empty result."""
-    gone = duplicates(docs, id_col, text_col, min_words).distinct()
-    by_doc = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__gone"), F.count_if(~F.col("near")).alias("__exact"), F.count_if("near").alias("__near"))
+    whole and make no other line go; ids are whole numbers. Rows that repeat an id are one document: their lines tie, and ties
+    stay. A text of any length is read in whole. A document may lose all its lines; its text is then empty. An empty table
+    gives an empty result."""
+    names = [free_name(c, *docs.columns) for c in ("doc_of", "gone_at", "exact_of", "near_of", "n_lines", "n_exact", "n_near")]
+    doc, at, exact, near = (F.col(c) for c in names[:4])
+    with tidy() as keep:
+        gone = duplicates(docs, id_col, text_col, min_words).distinct()
+        by_doc = gone.groupBy(F.col("doc").alias(names[0])).agg(F.array_sort(F.collect_set("at")).alias(names[1]), F.count_if(~F.col("near")).alias(names[2]), F.count_if("near").alias(names[3]))
+        by_doc = keep(cut(by_doc))
+    # A byte for each line up to the last that goes, 1 for those that go: a look at a line's own byte costs the same in a text
+    # of any number of lines.
+    gap = lambda x, i: x - F.coalesce(F.get(at, i - 1) + 1, F.lit(0))
+    flags = F.array_join(F.transform(at, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1"))), "").cast("binary")
+    flagged = small_side(by_doc, lists=names[1]).withColumn(names[1], flags)
     split = F.split(F.col(text_col), "\n")
-    left = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    left = F.filter(F.transform(split, lambda x, i: F.when(at.substr(i + 1, F.lit(1)) != F.lit(b"1"), x)), lambda x: x.isNotNull())
     has_word = F.filter(split, lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
-    out = docs.join(small_side(cut(by_doc), lists="__gone"), F.col(id_col) == F.col("__doc"), "left")
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(has_word)).cast("long"), "n_exact": F.coalesce("__exact", F.lit(0)).cast("long"), "n_near": F.coalesce("__near", F.lit(0)).cast("long")}
-    return out.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in counts.items()))
+    out = docs.join(flagged, F.col(id_col) == doc, "left")
+    counts = (F.when(F.col(text_col).isNull(), 0).otherwise(F.size(has_word)), F.coalesce(exact, F.lit(0)), F.coalesce(near, F.lit(0)))
+    return out.select(*(F.when(doc.isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns), *(v.cast("long").alias(k) for k, v in zip(names[4:], counts)))
 
 
 #: doc_id, n_lines, n_exact, n_near and the md5 of the text that stays, over documents, in DuckDB's SQL: all variants, as text.
