@@ -1,8 +1,8 @@
 """Quality rules: statistics of each text, and an isolation forest over them.
 
 A tree of the forest splits a small sample of rows at random places of random statistics; a row that few splits set apart is
-odd. The forest is grown on a bounded sample of labelled rows, mostly good ones, and the score above which a document is
-dropped is calibrated over all labelled rows.
+odd. There is a forest for the statistics of characters and one for those of words and lines. They are grown on a bounded sample
+of labelled rows, mostly good ones, and the anomaly from which on a document is dropped is calibrated over all labelled rows.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, map_batches
+from lectern.llm.common import cut, held_out, in_arrow, map_batches, schema_of, tidy
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_upper", "n_marks")
-#: Bounds of the labelled sample that the forest is grown on, trees, rows of a tree.
+MORE = ("n_lines", "n_upper", "n_marks", "n_digits", "n_distinct")
+#: Bounds of the labelled sample that the forests are grown on, trees of a forest, rows of a tree.
 GOOD_ROWS, BAD_ROWS, TREES, TREE_ROWS = 4096, 96, 128, 256
-#: Of the good labelled rows, the share that the threshold may drop.
-GOOD_LOSS = 0.002
+#: Of the good labelled rows, the share that the threshold of each forest may drop.
+GOOD_LOSS = 0.001
 BINS = 4096
+KINDS = ("chars", "words")
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WINDOW)]
 
 
@@ -67,8 +68,8 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
     white = int(count[0x20] + count[9:14].sum())
     lines = [x for x in raw.split(b"\n") if x.strip()]
     upper = sum(map(str.isupper, text)) if text and not text.isascii() else int(count[65:91].sum())
-    marks = int(count[[33, 63, 58, 59, 124, 61, 95, 126]].sum())
-    return len(words), points - white, int(count[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, marks
+    marks, digits = int(count[[33, 63, 58, 59, 124, 61, 95, 126]].sum()), int(count[48:58].sum())
+    return len(words), points - white, int(count[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, marks, digits, len(set(words))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,15 +79,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = [text_statistics(t) for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=[id_col, *BASE, *MORE])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in BASE + MORE), text_col)
+    schema = schema_of([docs.schema[id_col]], ", ".join(f"{c} long" for c in BASE + MORE))
+    return map_batches(docs.select(id_col, text_col), run, schema, text_col)
 
 
-def features(columns: dict[str, np.ndarray]) -> np.ndarray:
-    """Rates out of the statistics: a row of numbers for each document."""
+def features(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rates out of the statistics, a row of numbers for each document, in two kinds: of characters, and of words and lines. Each
+    kind has a forest of its own, as splits at many calm statistics hide a few telling ones."""
     c = {k: np.asarray(v, np.float64) for k, v in columns.items()}
-    # What the base rules measure, repeats, stays out; a few characters more keep short texts from standing out.
-    return np.stack([c["n_symbols"] / (c["word_chars"] + 20), c["n_upper"] / (c["word_chars"] + 200), c["n_marks"] / (c["word_chars"] + 20)], 1)
+    chars, words, lines = c["word_chars"], c["n_words"], c["n_lines"]
+    # A few characters, words or lines more keep short texts from standing out.
+    return {
+        "chars": np.stack([c["n_symbols"] / (chars + 20), c["n_upper"] / (chars + 200), c["n_marks"] / (chars + 20)], 1),
+        "words": np.stack([chars / (words + 1), np.log(c["n_distinct"] + 1) / np.log(words + 2), c["n_repeat_words"] / (words + 20), c["n_dup_lines"] / (lines + 4), np.log((words + 20) / (lines + 1)), c["n_digits"] / (chars + 20)], 1),
+    }
 
 
 class Forest:
@@ -131,16 +137,18 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(self._rest(self.rows), 1e-9))
 
 
-def _scored(stats: DataFrame, forest: Forest | None, keep: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep) + ", anomaly double"
+def _scored(stats: DataFrame, forests: dict[str, Forest], keep: list[str]) -> DataFrame:
+    """keep and an anomaly_ of each kind."""
+    names = [f"anomaly_{k}" for k in KINDS]
+    schema = schema_of([stats.schema[c] for c in keep], ", ".join(f"{name} double" for name in names))
 
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in BASE + MORE}
-            anomaly = forest.score(features(cols)) if forest else np.zeros(batch.num_rows)
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(anomaly)], names=[*keep, "anomaly"])
+            rates = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in BASE + MORE})
+            found = [forests[k].score(rates[k]) if k in forests else np.zeros(batch.num_rows) for k in KINDS]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *map(pa.array, found)], names=[*keep, *names])
 
-    return stats.select(*dict.fromkeys([*keep, *BASE, *MORE])).mapInArrow(run, schema)
+    return in_arrow(stats.select(*dict.fromkeys([*keep, *BASE, *MORE])), run, schema)
 
 
 def _failed():
@@ -148,35 +156,47 @@ def _failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS, good_loss: float = GOOD_LOSS) -> tuple[Forest | None, float]:
-    """The forest, and the score above which documents are dropped. The sample of good_rows and bad_rows is that of the
-    smallest hashes of ids; rows that the base rules drop are left out. The threshold is the lowest that drops at most good_loss of all good labelled rows, and no more
-    than it gains: it rises to where a drop hits more bad rows than good ones. Without labelled rows nothing is dropped."""
-    own = labels.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__good"))
-    rows = cut(stats.where(~_failed()).join(own, F.col(id_col) == F.col("__id")).where("__good is not null").drop("__id"))
-    some = [r for good, most in ((1, good_rows), (0, bad_rows)) for r in rows.where(F.col("__good") == good).orderBy(F.xxhash64(id_col), id_col).limit(most).select(*BASE, *MORE).collect()]
+def threshold(good: np.ndarray, bad: np.ndarray, good_loss: float) -> float:
+    """From counts by anomaly (BINS to 1) of good and bad rows, the anomaly from which on rows are dropped: the lowest that drops
+    at most good_loss of all good ones, or above it where a drop hits more bad rows than good ones; 2 where that is nowhere."""
+    above_good, above_bad = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
+    first = int(np.argmax(above_good <= good_loss * max(1, good.sum())))
+    gain = above_bad[first:] - above_good[first:]
+    return float(first + int(np.argmax(gain))) / BINS if gain.max() > 0 else 2.0
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS, good_loss: float = GOOD_LOSS) -> tuple[dict[str, Forest], dict[str, float]]:
+    """The forests, and for each the anomaly from which on documents are dropped. Only labels of ids whose crc32 (as text) mod 3
+    is not 1 are looked at, so that the others can tell how well it does. The sample of good_rows and bad_rows is that of the
+    smallest hashes of ids; rows that the base rules drop are left out. The thresholds come from all labelled rows, see
+    threshold(). Without labelled rows nothing is dropped."""
+    own = labels.where(~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).alias("good")).where("good is not null")
+    rows = cut(stats.where(~_failed()).select(F.col(id_col).alias("id"), *BASE, *MORE).join(own, F.col("id") == F.col("labelled")))
+    some = [r for good, most in ((1, good_rows), (0, bad_rows)) for r in rows.where(F.col("good") == good).orderBy(F.xxhash64("id"), "id", *BASE, *MORE).limit(most).select(*BASE, *MORE).collect()]
     if not some:
-        return None, 2.0
-    forest = Forest(features({c: np.array([r[c] for r in some]) for c in BASE + MORE}))
-    found = _scored(rows, forest, ["__good"]).groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "__good").count().collect()
-    hits = np.zeros((2, BINS + 2))
-    for r in found:
-        hits[int(r["__good"] > 0), r["bin"] + 1] += r["count"]
-    above = hits[:, ::-1].cumsum(1)[:, ::-1]  # rows in this bin or above
-    ok = above[1] <= good_loss * max(1, hits[1].sum())
-    first = int(np.argmax(ok))
-    gain = above[0, first:] - above[1, first:]
-    return forest, float(first + int(np.argmax(gain)) - 1) / BINS if gain.max() > 0 else 2.0
+        return {}, dict.fromkeys(KINDS, 2.0)
+    rates = features({c: np.array([r[c] for r in some]) for c in BASE + MORE})
+    forests = {k: Forest(rates[k]) for k in KINDS}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.floor(F.col(f"anomaly_{k}") * BINS).cast("int").alias("bin")) for k in KINDS))).alias("e")
+    hits = {(k, good): np.zeros(BINS + 2) for k in KINDS for good in (False, True)}
+    for r in _scored(rows, forests, ["good"]).select("good", each).groupBy("e.kind", "e.bin", "good").count().collect():
+        hits[r["kind"], r["good"] > 0][r["bin"]] += r["count"]
+    return forests, {k: threshold(hits[k, True], hits[k, False], good_loss) for k in KINDS}
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """For every row of docs: id_col, the BASE statistics, base_failed, kept, the MORE statistics, anomaly and threshold.
+    """For every row of docs: id_col, the BASE statistics, base_failed, kept, the MORE statistics, and of each kind of statistics
+    the anomaly and its threshold. Dropped is what the base rules drop, and what is as odd as a threshold, or odder.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT of them in repeated windows; such rows are not
-    kept, whatever the forest says. A null text counts as empty. Repeated rows are judged each on their own; labels of an id
-    that occurs twice count once, as good if any is; null labels don't count. Without labels only the base rules drop."""
-    stats = cut(statistics(docs, id_col, text_col))
-    forest, threshold = fit(stats, labels, id_col, label_col)
-    scored = _scored(stats, forest, [id_col, *BASE, *MORE])
-    failed = _failed()
-    return scored.select(id_col, *BASE, failed.alias("base_failed"), (~failed & (F.col("anomaly") < threshold)).alias("kept"), *MORE, "anomaly", F.lit(threshold).alias("threshold"))
+    kept, whatever the forests say. A null text counts as empty; a text of any length is read in whole. Repeated rows are judged
+    each on their own, and equal texts alike; labels of an id that occurs twice count once, as good if any is; null labels don't
+    count. Without labels only the base rules drop. Other columns are not looked at; an empty table gives an empty result."""
+    with tidy() as keep:
+        stats = keep(cut(statistics(docs, id_col, text_col)))
+        forests, least = fit(stats, labels, id_col, label_col)
+    scored, failed = _scored(stats, forests, [id_col, *BASE, *MORE]), _failed()
+    calm = ~failed
+    for k in KINDS:
+        calm = calm & (F.col(f"anomaly_{k}") < least[k])
+    return scored.select(id_col, *BASE, failed.alias("base_failed"), calm.alias("kept"), *MORE, *(x for k in KINDS for x in (F.col(f"anomaly_{k}"), F.lit(least[k]).alias(f"threshold_{k}"))))
