@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lectern.llm.common import cut, held_out, slices
+from lectern.llm.common import cut, held_out, in_arrow, release, slices, tidy
 
 ORDER = 4
 #: Bytes that UTF-8 never has: padding before a text, and the symbol after it. Symbols: 254 bytes and the end.
@@ -28,7 +29,7 @@ PAD, END, SYMBOLS = 0xFE, 0xFF, 255
 #: Grams and words that are broadcast at most.
 MOST_GRAMS, MOST_WORDS = 1_000_000, 250_000
 #: Distinct keys that a counting task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +86,14 @@ def _counts(docs: DataFrame, text_col: str) -> DataFrame:
                         if len(held[is_word][0]) > HELD // 2:
                             yield from emit(held[is_word], is_word)
                             held[is_word] = []
+            release()
         if texts:
             yield out(code=pa.array([-1], pa.int64()), n=pa.array([texts], pa.int64()))
         for is_word, tables in held.items():
             if tables:
                 yield from emit(tables, is_word)
 
-    return docs.select(text_col).mapInArrow(run, "code long, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(text_col), run, "code long, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n"))
 
 
 def _part(code: Column, k: int) -> Column:
@@ -159,8 +161,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
 
     Learns from the rows whose crc32(id as text) mod divisor is not remainder; a null id is held out. A null text is empty: an
     end alone. Letters A-Z are lower-cased. Repeated rows are scored, and learned from, each on their own. Without training
-    rows every symbol is equally likely. Other columns are not looked at; an empty table gives an empty result."""
+    rows every symbol is equally likely. Of equally frequent grams and words all or none are broadcast, so ties decide nothing.
+    A text of any length is read in whole. Other columns are not looked at; an empty table gives an empty result."""
     own = docs.select(F.col(id_col), F.col(text_col), held_out(id_col, divisor, remainder).alias("held_out"))
+    with tidy() as keep:
+        return _score(own, id_col, text_col, most_grams, most_words, keep)
+
+
+def _score(own: DataFrame, id_col: str, text_col: str, most_grams: int, most_words: int, keep) -> DataFrame:
     counts = cut(_counts(own.where(~F.col("held_out")), text_col))
     texts = (counts.where("code = -1").first() or {"n": 0})["n"]
     words = counts.where("word is not null").select("word", "n")
@@ -176,7 +184,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     known_words, known_n = top_words["word"].combine_chunks().cast(pa.string()), top_words["n"].to_numpy()
     divide = float(train_tokens + distinct + 1)
     end_score = math.log10((texts + 1) / divide)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         base_id, made = TaskContext.get().partitionId() << 40, 0
@@ -215,9 +222,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
                         code = none(pa.int64(), m) if is_word else pa.array(found[which])
                         word = coded_words.dictionary.take(pa.array(which)).cast(pa.string()) if is_word else none(pa.string(), m)
                         yield pa.record_batch([pa.array(ids[key >> 32]), code, word, pa.array(times.astype(np.int64)), none(batch.column(0).type, m), *(none(k, m) for k in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=names)
+            release()
 
     names = ["row", "code", "word", "times", id_col, "held_out", "n_tokens", "n_known", "base_score", "score", "n_symbols"]
-    parts = cut(own.select(id_col, text_col, "held_out").mapInArrow(run, f"row long, code long, word string, times long, `{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_symbols long"))
+    schema = StructType([*StructType.fromDDL("row long, code long, word string, times long").fields, own.schema[id_col], *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, score double, n_symbols long").fields])
+    parts = keep(cut(in_arrow(own.select(id_col, text_col, "held_out"), run, schema)))
     heads = parts.where("code is null and word is null").drop("code", "word", "times")
     missed = parts.where("code is not null").select("row", "code", "times")
     # A missed gram is a rare one of the training texts, or one that they don't have.
@@ -228,6 +237,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     rare = parts.where("word is not null").select("row", "word", "times").join(words.select(F.col("word").alias("k"), "n"), F.col("word") == F.col("k"), "left")
     from_words = rare.select("row", F.lit(0.0).alias("score"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(divide))).alias("base_score"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("n_known"))
     more = from_grams.unionByName(from_words).groupBy(F.col("row").alias("of")).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_known").alias("k"))
+    more = keep(cut(more))
     zero = F.lit(0.0)
     out = heads.join(more, F.col("row") == F.col("of"), "left").withColumn("score", F.col("score") + F.coalesce("s", zero))
     return out.select(
