@@ -3,14 +3,14 @@
 Distinct pre-tokens are laid out in matrices by length, padded to the next power of two; every row is a sequence of token ids.
 In each round every row merges its leftmost pair of minimum rank. Pair ranks come from a hash table of all pairs of tokens
 that together are a token; after a merge only the two pairs beside it are looked up again. Rows without a pair leave the
-matrix, and the rest is compacted.
+matrix, and the rest is compacted. A long pre-token has a matrix of its own, in which a round also merges the pair's other
+places, as far as that is what merging them one round after the other gives.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from lectern.llm.chunks import chunked
-from lectern.llm.common import slices
+from lectern.llm.common import in_arrow, release, schema_of, slices
 
-#: Pre-tokens of more bytes are merged one by one, with a heap.
+#: Pre-tokens of more bytes have a matrix of one row.
 LONG = 512
 #: Cells of a matrix at most.
 CELLS = 1 << 21
@@ -92,7 +92,7 @@ class Encoder:
             elif not w:
                 out[i] = np.empty(0, np.int32)
             elif len(w) > LONG:
-                out[i] = self._one(w)
+                out[i] = self._row(w)
             else:
                 buckets.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
@@ -140,28 +140,35 @@ class Encoder:
             rank[back, at[back] - 1] = self.pairs.rank(m[back, at[back] - 1], m[back, at[back]])
         return out
 
-    def _one(self, word: bytes) -> np.ndarray:
-        """The same for one long word, with a heap of pairs over a linked list."""
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        first = self.pairs.rank(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(int(r), i, i + 1) for i, r in enumerate(first.tolist()) if r != NONE]
-        heapq.heapify(heap)
-        after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
-        token, ranks = [self.token_bytes[i] for i in ids], self.ranks
-        while heap:
-            r, i, j = heapq.heappop(heap)
-            if not (alive[i] and j < len(ids) and alive[j] and after[i] == j and ranks.get(token[i] + token[j]) == r):
-                continue
-            token[i] += token[j]
-            alive[j] = False
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-                if (n := ranks.get(token[i] + token[after[i]])) is not None:
-                    heapq.heappush(heap, (n, i, after[i]))
-            if before[i] >= 0 and (n := ranks.get(token[before[i]] + token[i])) is not None:
-                heapq.heappush(heap, (n, before[i], i))
-        return np.array([ranks[t] for t, ok in zip(token, alive) if ok], np.int32)
+    def _row(self, word: bytes) -> np.ndarray:
+        """The same for one long word. Of the places of the minimum-rank pair, from the left and without overlap, those up to the
+        first are merged in one round that makes a new pair of as low a rank; a later round goes on there."""
+        row = self.byte_id[np.frombuffer(word, np.uint8)]
+        rank = self.pairs.rank(row[:-1], row[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # Of places next to each other every second one overlaps the one before.
+            run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
+            first = np.searchsorted(run, run)
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            # What the merged token meets: on the left a merged or an old token, on the right one that is not merged yet.
+            before = np.where(at > 0, row[np.maximum(at - 1, 0)], -1)
+            before[1:] = np.where(at[1:] - at[:-1] == 2, best, before[1:])
+            after = np.where(at + 2 < len(row), row[np.minimum(at + 2, len(row) - 1)], -1)
+            merged = np.full(len(at), best, np.int32)
+            low = (self.pairs.rank(before.astype(np.int32), merged) <= best) | (self.pairs.rank(merged, after.astype(np.int32)) <= best)
+            at = at[: int(low.argmax()) + 1] if low.any() else at
+            row[at] = best
+            keep = np.ones(len(row), bool)
+            keep[at + 1] = False
+            row = row[keep]
+            rank = np.append(rank, NONE)[keep][:-1]
+            # Only pairs with a merged token on a side are new.
+            now = at - np.arange(len(at))
+            left = np.unique(np.concatenate([now - 1, now]))
+            left = left[(left >= 0) & (left < len(row) - 1)]
+            rank[left] = self.pairs.rank(row[left], row[left + 1])
+        return row
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
@@ -172,10 +179,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (of the bytes that the ids decode to); with_ids adds the ids.
 
     ranks_path: a file of base64 tokens and ranks; pattern: what splits a text into pre-tokens. A null text is empty: no ids,
-    and the digests of nothing. Repeated rows and null ids come out as they came in; an empty table gives an empty result.
-    most: chunks that a task remembers at a time."""
+    and the digests of nothing. A text of any length is encoded in whole; of pairs of equal rank the leftmost goes first. Repeated
+    rows and null ids come out as they came in; other columns are not looked at; an empty table gives an empty result. most:
+    chunks that a task remembers at a time."""
     path, split = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         encoder, find = Encoder(read_ranks(path)), regex.compile(split).findall
@@ -212,5 +219,6 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         ids.append(np.array(text.split(), np.int32))
                 arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.record_batch(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            release()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select(id_col, text_col), run, schema_of([docs.schema[id_col]], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids))
