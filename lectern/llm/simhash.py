@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, map_batches
+from lectern.llm.common import cut, free_name, in_arrow, map_batches, schema_of, tidy
 from lectern.llm.graph import connected_components
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 3, 3, 42
@@ -51,8 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long", text_col)
+    return map_batches(docs.select(id_col, text_col), run, schema_of([docs.schema[id_col]], "fp long"), text_col)
 
 
 _PLACES = np.arange(32, dtype=np.uint64)
@@ -96,7 +95,7 @@ def anchored(fps: DataFrame) -> DataFrame:
                     key = anchors[valid] | np.uint64(side << 32)
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(rep[row])], names=["anchor", "fp", "rep"])
 
-    return fps.select("fp", "rep").mapInArrow(run, "anchor long, fp long, rep long")
+    return in_arrow(fps.select("fp", "rep"), run, "anchor long, fp long, rep long")
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,27 +170,35 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
             if len(pairs):
                 yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return in_arrow(dealt.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs. component_id is the smallest id that links of at most 3
-    differing bits reach, itself included. Null and word-less texts have fingerprint zero and link like any other. Repeated
-    rows come out repeated. A row with a null id is in its group, but gives it no name; a group of such rows only has none.
-    Other columns of docs are not looked at. An empty table gives an empty result."""
-    own = cut(fingerprints(docs, id_col, text_col))
-    reps = cut(own.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")))
-    groups = connected_components(links(reps.where("rep is not null")), "a", "b")
-    named = reps.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    differing bits reach, itself included; ids are whole numbers. Null and word-less texts have fingerprint zero and link like
+    any other; texts of any length are read in whole. Repeated rows come out repeated. A row with a null id is in its group and
+    links what it links, but gives it no name; a group of such rows only has none. Other columns of docs are not looked at. An
+    empty table gives an empty result."""
+    with tidy() as keep:
+        own = keep(cut(fingerprints(docs, id_col, text_col)))
+        reps = cut(own.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")))
+        # Links are between fingerprints, as one that only rows without an id have links others too.
+        groups = connected_components(links(reps.select("fp", F.col("fp").alias("rep"))), "a", "b")
+        joined = reps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+        least = joined.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id"))
+        named = keep(cut(joined.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id")))
+    return own.join(named, F.col("fp") == F.col("f")).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their group: one document of each group stays, with all its columns. Of rows that
-    repeat an id, one stays; rows with a null id stay."""
-    own = cut(near_duplicates(docs, id_col, text_col))
-    named = own.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).count()
-    kept = docs.join(named.select("__keep"), F.col(id_col) == F.col("__keep"), "left_semi")
+    repeat an id, the one with the least text stays (a null is less than any); rows with a null id stay."""
+    key = free_name("keep", *docs.columns)
+    with tidy() as keep:
+        own = near_duplicates(docs, id_col, text_col)
+        named = keep(cut(own.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(key)).count()))
+    kept = docs.join(named.select(key), F.col(id_col) == F.col(key), "left_semi")
     if not named.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
+        whole = F.struct(*(F.col(c) for c in docs.columns))
+        kept = kept.groupBy(F.col(id_col).alias(key)).agg(F.min_by(whole, F.struct(F.col(text_col), F.xxhash64(*(F.col(c).cast("string") for c in docs.columns)))).alias("row")).select("row.*")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

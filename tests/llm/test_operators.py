@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import ann, bpe, compress, langid, linededup, packing, ppm, rules, simhash, urls
+from lectern.llm import ann, bpe, chunks, compress, langid, linededup, packing, ppm, rules, simhash, urls
 from lectern.llm.graph import connected_components
 
 WORDS = "the of and to in is was that for on as with by at from this be are it his an were which had".split()
@@ -56,7 +57,6 @@ def test_components(spark, none):
 
 def test_packing(docs, rows, none):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     found = packing.pack(docs, with_ids=True).collect()
     want = collections.Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, *_ in rows)
     held, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -70,8 +70,28 @@ def test_packing(docs, rows, none):
         assert [x for _, p in pieces[::times] for x in p] == list(ids)
     for own in sequences.values():
         own.sort()
-        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] <= own[0][2]
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] == own[0][2]
     assert packing.pack(none).count() == 0
+    texts = ["x <|endoftext|> y", "x  <|endoftext|>  y", "<|endoftext|>", "a<|endoftext|>, b"]
+    special = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for as_text in (False, True):
+        tok.encode_special_tokens = as_text
+        got = collections.defaultdict(list)
+        for r in packing.pack(special, with_ids=True, special_as_text=as_text).orderBy("start").collect():
+            got[r["doc_id"]] += r["ids"]
+        assert [got[i] for i in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_ids_by_ranks():
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(8)
+    alphabets = [range(0x250), range(32, 127), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 65, 66, 49, 39, 46], [*map(ord, "abcdefghinorst '\n")], [*range(0x250), 0x4E2D, 0x1F600, 0x3B1]]
+    texts = ["".join(map(chr, rng.choice([*alphabets[k % 5]], rng.integers(1, 120)).tolist())) for k in range(2000)] + ["x" * 3000, " " * 3000 + "a", None, "", "a <|endoftext|> b"]
+    store = packing._id_store(path, False)
+    quick = store.encode.quick(pa.array(texts))
+    assert store.encode.by_ranks and 0.9 < quick.mean() < 1 and quick[-5:].tolist() == [False, False, True, True, False]
+    tok = Tokenizer.from_file(path)
+    assert [x.tolist() for x in packing.encoded(store, pa.array(texts))] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert chunks.merge_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
 
 
 def test_packing_fills():
@@ -82,8 +102,19 @@ def test_packing_fills():
     assert windows and all(sum(b - a for _, a, b in w) in packing.TIERS for w in windows)
     windows += packing.flush(pool)
     assert sum(b - a for w in windows for _, a, b in w) == 20 * 2680 and not pool.lengths
-    groups = packing.step_groups(windows)
-    assert len(groups) == len(windows)
+    assert all(packing.tokens(w).bit_count() == 1 for w in windows)  # a power of two, so nothing is padded
+    steps, dealt = packing.StepGroups(4096), []
+    for at in range(0, len(windows), 5):
+        dealt += steps.deal(windows[at : at + 5])
+    early = len(dealt)
+    dealt += steps.deal([], last=True)
+    groups = collections.defaultdict(list)
+    for group, w in dealt:
+        groups[group].append(packing.tokens(w))
+    assert sorted(map(repr, windows)) == sorted(repr(w) for _, w in dealt) and early
+    assert all(len(set(own)) == 1 for own in groups.values())
+    assert all(sum(own) == 4096 for g, own in groups.items() if g in {g for g, _ in dealt[:early]})
+    assert collections.Counter(own[0] for own in groups.values() if sum(own) < 4096).most_common(1)[0][1] == 1
 
 
 def naive_statistics(text):
@@ -157,7 +188,7 @@ def test_bpe(docs, rows, none):
     assert bpe.encode_decode(none).count() == 0
     encoder = bpe.Encoder(ranks)
     rng = np.random.default_rng(3)
-    words = [bytes(rng.choice(list(b"abethin \xc3\xa9\xff"), rng.integers(1, 900))) for _ in range(300)]
+    words = [bytes(rng.choice(list(b"abethin \xc3\xa9\xff"), rng.integers(1, 900)).tolist()) for _ in range(300)]
     assert [x.tolist() for x in encoder.encode(words)] == [library._encode_single_piece(w) for w in words]
 
 
