@@ -48,8 +48,10 @@ def jpeg_dimensions(data: bytes | None) -> tuple[int, int] | None:
         return None
     at = 2
     while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            return None
+        if data[at] != 0xFF:  # stray bytes: on to the next marker
+            at = data.find(b"\xff", at)
+            if at < 0 or at + 4 > len(data):
+                return None
         marker = data[at + 1]
         if marker == 0xFF or marker == 0x01 or 0xD0 <= marker <= 0xD8:  # fill bytes, and markers without a length
             at += 1 if marker == 0xFF else 2
@@ -135,7 +137,10 @@ def epub_flags_of(data: bytes | None) -> list[str]:
     except zipfile.BadZipFile:
         return ["EPUB_BADZIP:BadZipFile"]
     with z:
-        broken = z.testzip()
+        try:
+            broken = z.testzip()
+        except Exception as e:  # a damaged stream, a method or a password that can't be read
+            broken = type(e).__name__
         flags, names = ([f"EPUB_CRC:{broken}"] if broken else []), set(z.namelist())
         if "META-INF/container.xml" not in names:
             return [*flags, "EPUB_NO_CONTAINER"]

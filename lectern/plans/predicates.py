@@ -11,10 +11,13 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.dates import day_of
+from lectern.functions.dates import UNDEFINED, day_of
 from lectern.functions.text import fold_text
 from lectern.plans.fields import ALIASES, ALL_FIELDS, FieldRegistry
 from lectern.plans.syntax import And, Node, Not, Or, SearchError, Term, parse
@@ -38,6 +41,15 @@ class Match:
         return Match(how, value[1:]) if how else Match("contains", value)
 
 
+def _java_takes(pattern: str) -> bool:
+    """Whether Spark's own regular expressions, which are Java's, read the pattern."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"(?iuU){pattern}")
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def negate(tree: Node, flip: bool = False) -> Node:
     """The tree with Not on terms only."""
     if isinstance(tree, Not):
@@ -84,7 +96,7 @@ class Compiler:
     compared, which is the same for values without accents."""
 
     def __init__(self, items: DataFrame, registry: FieldRegistry | None = None, as_of: date | None = None):
-        self.columns, self.registry, self.as_of = set(items.columns), registry or FieldRegistry(), as_of or date.today()
+        self.columns, self.kinds, self.registry, self.as_of = set(items.columns), dict(items.dtypes), registry or FieldRegistry(), as_of or date.today()
 
     def predicate(self, text: str) -> Column:
         """The rows that an expression finds, as a condition for a filter; a blank one finds all."""
@@ -136,7 +148,8 @@ class Compiler:
     # Numbers and dates
 
     def _number(self, column: str, kind: str, value: str) -> tuple[Column, Column | None]:
-        own = (F.col(column) if column in self.columns else F.lit(None)).cast("double") if kind != "int" else F.col(column) if column in self.columns else F.lit(None).cast("long")
+        # A value that is no number is none, and does not end the job.
+        own = (F.col(column) if column in self.columns else F.lit(None)).try_cast("long" if kind == "int" else "double")
         if value in ("true", "false"):
             has = own.isNotNull() & (own > 0) if kind == "rating" else own.isNotNull()
             return (F.coalesce(has, F.lit(False)) if value == "true" else own.isNull() | (own == 0) if kind == "rating" else own.isNull()), None
@@ -152,6 +165,19 @@ class Compiler:
         own = day_of(F.col(column)) if column in self.columns else F.lit(None).cast("date")
         if column in self.columns and f"{column}_day" in self.columns:
             own = F.col(f"{column}_day")
+        elif self.kinds.get(column, "").startswith(("date", "timestamp")):
+            # The bare column between days, which a scan can take over; days that stand for an unknown date are left out.
+            own = F.col(column)
+            if value not in _NO + _YES and value:
+                relation, text = split_relation(value)
+                first, after = date_range(text.strip(), self.as_of)
+                day = lambda d: F.lit(d.isoformat()).cast("date")
+                unknown = [date.fromisoformat(x) for x in UNDEFINED]
+                known = reduce(lambda a, b: a & b, ((own < day(x)) | (own >= day(x + timedelta(1))) for x in unknown))
+                least, most = day(first), day(after)
+                found = {"=": (own >= least) & (own < most), "!=": (own < least) | (own >= most), ">": own >= most, ">=": own >= least, "<": own < least, "<=": own < most}[relation]
+                return found & known, day_of(own)
+            own = day_of(own)
         if value in _NO or not value:
             return own.isNull(), None
         if value in _YES:
@@ -183,7 +209,17 @@ class Compiler:
             re.compile(pattern, re.IGNORECASE)
         except re.error as e:
             raise SearchError(f"no regular expression: {pattern!r}") from e
-        return F.exists(column, lambda x: F.regexp_like(x, F.lit(f"(?iuU){pattern}")))
+        for text in dict.fromkeys((pattern, re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")))):
+            if _java_takes(text):
+                own = F.lit(f"(?iuU){text}")
+                return F.exists(column, lambda x: F.regexp_like(x, own))
+
+        @F.pandas_udf("boolean")
+        def found(values: pd.Series) -> pd.Series:  # what only Python's expressions can say
+            expression = re.compile(pattern, re.IGNORECASE)
+            return pd.Series([any(x is not None and expression.search(x) for x in v) if v is not None else False for v in values])
+
+        return found(column)
 
     def _plain(self, column: str, kind: str | None, match: Match) -> Column:
         """A text match without regard to trees."""

@@ -1,3 +1,4 @@
+import collections
 import io
 import struct
 import zipfile
@@ -64,6 +65,42 @@ def test_isbn(spark):
     assert row["v"] == "CONFIRMED"
 
 
+def test_printed_numbers():
+    both = lambda text: isbn.scan(text)
+    assert both("ISBN 13: 978 0 306 40615 7 (pbk.)") == (["9780306406157"], ["9780306406157"]) and both("ISBN 10 0306406152")[0] == ["9780306406157"]
+    assert both("isbn978\u20110\u2011306\u201140615\u20117")[0] == ["9780306406157"] and both("ISBN 0 8044 2957 x")[0] == ["9780804429573"]
+    assert both("ISBN 978-0-306-40615-8") == ([], []) and both("no label 9780306406157") == ([], []) and both("ISBN" + " " * 40 + "0306406152") == ([], [])
+    assert both("ISBN 0306406152 and ISBN 0-201-18399-4")[0] == ["9780201183993", "9780306406157"]
+    assert both("All   rights\nreserved " + "y" * 300 + " ISBN 0306406152")[1] == []
+
+
+def test_batches_lose_nothing(spark):
+    rows = spark.range(20_000).selectExpr("id", "id % 7 = 0 AS is_read", "concat('t', pmod(xxhash64(id), 50)) AS c1", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('a', pmod(xxhash64(id, 1), 900)) END AS c2").cache()
+    want, seen = {}, collections.Counter()
+    for r in sorted(rows.collect(), key=lambda r: (r["c2"], r["c1"], r["id"])):
+        want[r["id"]] = seen[r["is_read"]] // 500
+        seen[r["is_read"]] += 1
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (4, 8, 16, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {r["id"]: r["batch"] for r in export.lt_batches(rows).select("id", "batch").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert export.lt_batches(rows.limit(0)).count() == 0
+
+
+def test_damaged_files():
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xhtml", "x" * 5000 + "".join(map(chr, range(300, 3000))))
+    raw = bytearray(data.getvalue())
+    raw[60:90] = b"\xff" * 30
+    assert any(f.startswith("EPUB_CRC") for f in files.epub_flags_of(bytes(raw)))
+    whole = jpeg(30, 20, b"\xff\xe1" + struct.pack(">H", 100) + b"z" * 98)
+    assert files.jpeg_dimensions(whole[:2] + b"\x00\x01" + whole[2:]) == (30, 20)
+
+
 def test_images_and_locks(spark):
     assert files.jpeg_dimensions(jpeg(300, 200)) == (300, 200) and files.jpeg_dimensions(jpeg(30, 20, b"\xff\xe1" + struct.pack(">H", 2000) + b"z" * 1998)) == (30, 20)
     assert [files.jpeg_dimensions(x) for x in (None, b"", b"GIF", b"\xff\xd8\xff")] == [None] * 4
