@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.display import author_key, series_label, star_text
@@ -64,21 +64,26 @@ def lt_rows(items: DataFrame, roles: dict[str, str] | None = None, call_numbers:
 
 
 def lt_batches(rows: DataFrame, size: int = LT_BATCH) -> DataFrame:
-    """rows with `batch`: numbers from 0 of runs of size rows, for read and other ones apart, in order of c2, c1, id. Ranges of
-    the order are counted first, so that no task has to number all rows."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of our own: adaptive execution leaves it alone
-    ranged = rows.repartitionByRange(parts, "is_read", "c2", "c1", "id").sortWithinPartitions("is_read", "c2", "c1", "id").withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part", "is_read").count().orderBy("__part").collect()  # two rows for each task at most
+    """rows with `batch`: numbers from 0 of runs of size rows, for read and other ones apart, in order of c2, c1, id. The order is
+    cut into ranges that are counted first, so that no task has to number all rows. The cuts are rows that a hash of the id
+    picks, so each reading of rows finds the same ranges."""
+    spark, key = rows.sparkSession, F.struct("c2", "c1", "id")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    step = max(1, rows.count() // (20 * parts))
+    some = rows.where(F.pmod(F.xxhash64("c2", "c1", "id"), F.lit(step)) == 0).select("c2", "c1", "id").distinct().orderBy("c2", "c1", "id").collect()  # about 20 for each range
+    cuts = [some[i * len(some) // parts] for i in range(1, parts) if some]
+    of = {f.name: f.dataType for f in rows.select("c2", "c1", "id").schema}
+    bounds = F.array(*(F.struct(*(F.lit(r[c]).cast(of[c]).alias(c) for c in of)) for r in dict.fromkeys(cuts)))
+    ranged = rows.withColumn("__part", F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0))
+    counts = ranged.groupBy("__part", "is_read").count().orderBy("__part").collect()  # two rows for each range
     before, total = [], {True: 0, False: 0}
     for r in counts:
         before.append((r["__part"], r["is_read"], total[r["is_read"]]))
         total[r["is_read"]] += r["count"]
-    from pyspark.sql import Window
-
     own = Window.partitionBy("__part", "is_read").orderBy("c2", "c1", "id")
     ahead = F.broadcast(spark.createDataFrame(before, "__part int, is_read boolean, __before long"))
-    return ranged.withColumn("__n", F.row_number().over(own)).join(ahead, ["__part", "is_read"]).withColumn("batch", F.floor((F.col("__before") + F.col("__n") - 1) / size)).drop("__part", "__n", "__before")
+    number = F.coalesce("__before", F.raise_error(F.lit("rows changed while they were numbered")).cast("long")) + F.col("__n") - 1
+    return ranged.withColumn("__n", F.row_number().over(own)).join(ahead, ["__part", "is_read"], "left").withColumn("batch", F.floor(number / size)).select(*rows.columns, "batch")
 
 
 def lt_summary(rows: DataFrame) -> DataFrame:
