@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import cut, tidy
 from lectern.llm.graph import connected_components
 
 #: (host, path, verdict)
@@ -80,16 +81,21 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (null, null) if name is None else (name, verdict)
 
 
+_HREF = r"(?i)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_CANONICAL = r"""(?i)<link\b[^>]*[\s"'/]rel\s*=\s*(?:"(?:[^">]*\s)?canonical["\s][^>]*|'(?:[^'>]*\s)?canonical['\s][^>]*|canonical(?:[\s/][^>]*)?>)"""
+_REFRESH, _URL = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*", r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_BASE, _COMMENT = r"(?i)<base\b[^>]*", r"(?s)<!--.*?(?:-->|$)"
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) keys of each page's URL and of what its canonical link and its meta refresh name."""
-    html = F.col(html_col)
-    href = r"(?i)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)"
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*[\s\"'/]rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?=[\s\">])|'(?:[^'>]*\s)?canonical(?=[\s'>])|canonical(?=[\s/>]))[^>]*", 0), href, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*", 0), r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    lowered = F.lower(html)
-    base = F.regexp_extract(F.regexp_extract(html, r"(?i)<base\b[^>]*", 0), href, 1)
+    """(src, dst) keys of each page's URL and of what its canonical links and its meta refreshes name; what stands in a comment
+    does not count. Of several base elements the first one does; of entities, &amp; is read."""
+    lowered = F.lower(F.col(html_col))
+    seen = pages.where(lowered.contains("canonical") | lowered.contains("refresh")).select(F.col(url_col).alias("url"), F.regexp_replace(html_col, _COMMENT, "").alias("html"))
+    told = lambda tag, goal: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, goal, 1))
     plain = lambda to: F.replace(to, F.lit("&amp;"), F.lit("&"))
-    found = pages.where(lowered.contains("canonical") | lowered.contains("refresh")).select(F.col(url_col).alias("url"), base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to"))
+    base = F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1)
+    found = seen.select("url", base.alias("base"), F.explode(F.concat(told(_CANONICAL, _HREF), told(_REFRESH, _URL))).alias("to"))
     # Each step is bound, as the next one names it many times and the filter would copy it each time.
     based = _bound(plain(F.col("base")), lambda b: resolved(F.col("url"), b))
     page = F.when(F.col("base") != "", F.coalesce(based, "url")).otherwise(F.col("url"))
@@ -101,51 +107,86 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     """For every row of pages: id_col, host, path, rule (null where none fits) and verdict (allow or block).
 
     redirects: more edges (src, dst), as URLs. A null URL, or one without ://, has an empty host and path, fits no rule, is in
-    no class, and is allowed. A null html has no link. Repeated rows come out repeated; an empty table gives an empty result."""
-    edges = links(pages, url_col, html_col)
-    if redirects is not None:
-        edges = edges.union(redirects.select(key_of(F.col("src")), key_of(F.col("dst")))).distinct()
-    classes = connected_components(edges, "src", "dst")
-    node = F.concat(F.lit("x://"), F.col("node"))
-    ruled = classes.withColumn("v", matched(host_of(node), path_of(node), rules)[1])
-    blocked = ruled.groupBy("component").agg(F.max(F.col("v") == "block").alias("b"), F.max(F.col("v") == "allow").alias("a")).where("b and not coalesce(a, false)").select("component")
-    aliases = classes.join(blocked, "component", "left_semi").select("node")
+    no class, and is allowed. A null html has no link; an html of any length is read in whole. Of rules that fit, the longest
+    wins; of two of one length, the first by host and path. Repeated rows come out repeated; other columns are not looked at; an
+    empty table gives an empty result."""
+    with tidy() as keep:
+        edges = links(pages, url_col, html_col)
+        if redirects is not None:
+            edges = edges.union(redirects.select(key_of(F.col("src")), key_of(F.col("dst")))).distinct()
+        classes = connected_components(edges, "src", "dst")
+        node = F.concat(F.lit("x://"), F.col("node"))
+        ruled = classes.withColumn("v", matched(host_of(node), path_of(node), rules)[1])
+        blocked = ruled.groupBy("component").agg(F.max(F.col("v") == "block").alias("b"), F.max(F.col("v") == "allow").alias("a")).where("b and not coalesce(a, false)").select("component")
+        aliases = keep(cut(classes.join(blocked, "component", "left_semi").select("node")))
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    own = pages.select(F.col(id_col), key_of(F.col(url_col)).alias("key"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": verdict})
+    # Pages without a key would all meet in one task; a key that no URL has deals them out.
+    key = F.coalesce(key_of(F.col(url_col)), F.concat(F.lit("/"), F.xxhash64(id_col).cast("string")))
+    own = pages.select(F.col(id_col), key.alias("key"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": verdict})
     return own.join(aliases, F.col("key") == F.col("node"), "left").select(id_col, "host", "path", "rule", F.coalesce("said", F.when(F.col("node").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
 
-#: judge() over pages in DuckDB's SQL.
-SQL = r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^?#]*(\?[^#]*)', 1) AS query FROM p
-), targets AS (
-  SELECT url, host, host || path || query AS src, replace(t, '&amp;', '&') AS t FROM (
-    SELECT url, host, path, query, unnest([
-      regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM parts)
-  WHERE t <> '' AND host <> ''
-), goals AS (
-  SELECT src, CASE WHEN strpos(t, '://') > 0 THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '/') THEN host || t END AS rest FROM targets
-), edges AS (
-  SELECT src, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS dst FROM goals WHERE rest IS NOT NULL AND regexp_extract(rest, '^[^/?#]*', 0) <> ''
-), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges
-), reach AS (
-  SELECT src AS a, dst AS b FROM both_ways UNION SELECT a, dst FROM reach JOIN both_ways ON b = src
-), rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
-), nodes AS (
-  SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*', 0) AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach
+def _sql_parts(u: str) -> tuple[str, str, str]:
+    """Host, path and query of a URL in DuckDB's SQL."""
+    rest = f"(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END)"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*', 0), '{_UPPER}', '{_UPPER.lower()}')"
+    return host, f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)", rf"regexp_extract({rest}, '^[^?#]*(\?[^#]*)', 1)"
+
+
+def _sql_key(host: str, path: str, query: str) -> str:
+    without = (
+        f"CASE WHEN contains({path}, '/.') THEN array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda a, b: CASE WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] "
+        rf"WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END), '/') || CASE WHEN regexp_matches({path}, '/\.\.?$') THEN '/' ELSE '' END ELSE {path} END"
+    )
+    return f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {without} END || {query} END"
+
+
+def _sql_resolved(u: str, host: str, path: str, query: str, t: str) -> str:
+    scheme, full = f"regexp_extract({u}, '^[^:/?#]*', 0)", f"(CASE WHEN {path} = '' THEN '/' ELSE {path} END)"
+    return (
+        rf"CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN {t} WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL WHEN starts_with({t}, '//') THEN {scheme} || ':' || {t} "
+        f"WHEN starts_with({t}, '/') THEN {scheme} || '://' || {host} || {t} WHEN starts_with({t}, '?') THEN {scheme} || '://' || {host} || {full} || {t} "
+        f"WHEN starts_with({t}, '#') THEN {scheme} || '://' || {host} || {full} || {query} || {t} ELSE {scheme} || '://' || {host} || regexp_extract({full}, '^.*/', 0) || {t} END"
+    )
+
+
+def _sql() -> str:
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    parts = lambda u: "{} AS host, {} AS path, {} AS query".format(*_sql_parts(u))
+    told = lambda tag, goal: f"list_transform(regexp_extract_all(html, {quoted(tag)}, 0), lambda x: regexp_extract(x, {quoted(goal)}, 1))"
+    key, rules = _sql_key("host", "path", "query"), ", ".join(map(repr, RULES))
+    own = ("host", "path", "query")
+    return f"""
+WITH RECURSIVE parts AS (SELECT page_id, url, html, {parts("coalesce(url, '')")} FROM pages
+), keyed AS (SELECT page_id, url, host, path, {key} AS key FROM parts
+), bare AS (
+  SELECT url, host, path, query, {key} AS src, regexp_replace(html, {quoted(_COMMENT)}, '', 'g') AS html FROM parts WHERE host <> ''
+), listed AS (
+  SELECT url, host, path, query, src, replace(regexp_extract(regexp_extract(html, {quoted(_BASE)}, 0), {quoted(_HREF)}, 1), '&amp;', '&') AS base,
+    unnest(list_concat({told(_CANONICAL, _HREF)}, {told(_REFRESH, _URL)})) AS t FROM bare
+), based AS (
+  SELECT src, replace(t, '&amp;', '&') AS t, CASE WHEN base <> '' THEN coalesce({_sql_resolved("url", *own, "base")}, url) ELSE url END AS page FROM listed WHERE t <> ''
+), named AS (SELECT src, t, page, {parts("page")} FROM based
+), goals AS (SELECT src, {_sql_resolved("page", *own, "t")} AS goal FROM named
+), split AS (SELECT src, {parts("coalesce(goal, '')")} FROM goals
+), edges AS (SELECT src, {key} AS dst FROM split
+), linked AS (SELECT src, dst FROM edges WHERE dst IS NOT NULL AND src <> dst
+), both_ways AS (SELECT src, dst FROM linked UNION SELECT dst, src FROM linked
+), reach AS (SELECT src AS a, dst AS b FROM both_ways UNION SELECT a, dst FROM reach JOIN both_ways ON b = src
+), rules(rh, rp, v) AS (VALUES {rules}
+), nodes AS (SELECT DISTINCT b, {parts("('x://' || b)")} FROM reach
 ), node_said AS (
   SELECT b, arg_max(v, length(rh || rp)) AS v FROM nodes JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY b
 ), bad AS (
-  SELECT a FROM reach JOIN node_said USING (b) GROUP BY a HAVING bool_or(v = 'block') AND NOT bool_or(v = 'allow')
+  SELECT a FROM reach LEFT JOIN node_said USING (b) GROUP BY a HAVING bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), false)
 ), fits AS (
-  SELECT page_id, url, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, url
+  SELECT page_id, url, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v FROM keyed JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, url
 )
-SELECT parts.page_id, parts.host, parts.path, fits.rule, coalesce(fits.v, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND fits.url IS NOT DISTINCT FROM parts.url LEFT JOIN bad ON host <> '' AND bad.a = host || path || query
+SELECT k.page_id, k.host, k.path, fits.rule, coalesce(fits.v, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM keyed k LEFT JOIN fits ON fits.page_id IS NOT DISTINCT FROM k.page_id AND fits.url IS NOT DISTINCT FROM k.url LEFT JOIN bad ON bad.a = k.key
 """
+
+
+#: judge() over pages in DuckDB's SQL.
+SQL = _sql()
