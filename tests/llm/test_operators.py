@@ -5,9 +5,11 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -136,6 +138,43 @@ def test_rules(spark, docs, rows, none):
     assert all(r["kept"] != r["base_failed"] for r in found) and rules.judge(none, labels).count() == 0
 
 
+def naive_paths(rows, x, seed=42):
+    """Mean path of each row of x through trees that are grown as the forest grows them."""
+    rng, n = np.random.default_rng(seed), min(rules.TREE_ROWS, len(rows))
+    deepest, total = math.ceil(math.log2(n)), np.zeros(len(x))
+
+    def rest(k):
+        return 0.0 if k < 2 else 1.0 if k == 2 else 2 * (math.log(k - 1) + 0.5772156649) - 2 * (k - 1) / k
+
+    def grow(own, asked, depth):
+        wide = [f for f in range(rows.shape[1]) if len(own) and own[:, f].max() > own[:, f].min()]
+        if depth == deepest or len(own) < 2 or not wide:
+            total[asked] += depth + rest(len(own))
+            return
+        f = int(rng.choice(np.array(wide)))
+        v = rng.uniform(own[:, f].min(), own[:, f].max())
+        grow(own[own[:, f] <= v], [i for i in asked if x[i, f] <= v], depth + 1)
+        grow(own[own[:, f] > v], [i for i in asked if x[i, f] > v], depth + 1)
+
+    for _ in range(rules.TREES):
+        grow(rows[rng.choice(len(rows), n, replace=False)], list(range(len(x))), 0)
+    return 2.0 ** (-total / rules.TREES / rest(n))
+
+
+def test_forest_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.normal(size=(400, 3)), np.zeros((60, 3))])
+    assert np.allclose(rules.Forest(rows).score(rows[::7]), naive_paths(rows, rows[::7]), rtol=1e-9)
+    good, bad = np.zeros(rules.BINS + 2), np.zeros(rules.BINS + 2)
+    good[[100, 900]], bad[[500, 2000]] = [998, 2], [50, 7]
+    assert [rules.threshold(good, bad, x) * rules.BINS for x in (0.001, 0.002)] == [901, 101] and rules.threshold(good, 0 * bad, 0.5) == 2
+    texts = [prose(i, 150) for i in range(150)] + ["#* $% && | " * 30 + prose(i, 60) for i in range(15)]
+    labels = [(i, int(i < 150), 0) for i in range(165)]
+    found = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(r["kept"] == (not r["base_failed"] and r["anomaly_chars"] < r["threshold_chars"] and r["anomaly_words"] < r["threshold_words"]) for r in found.values())
+    assert sum(not found[i]["kept"] for i in range(150, 165)) >= 14 and sum(found[i]["kept"] for i in range(150)) >= 148
+
+
 def test_forest_finds_the_odd_one():
     rng = np.random.default_rng(1)
     forest = rules.Forest(rng.normal(size=(500, 3)))
@@ -174,6 +213,9 @@ def test_neighbours(spark):
     few = table.where("vec_id < 3")
     assert [(r["query_id"], r["rank"]) for r in ann.search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1), (0, 2)]
     assert ann.search(table.limit(0), table).count() == 0
+    twins = table.where("vec_id = 20").union(table.where("vec_id = 20")).union(table.where("vec_id = 40").withColumn("vec_id", F.lit(20).cast("long")))
+    got = collections.Counter((r["query_id"], r["rank"]) for r in ann.search(table, twins, k=10).collect())
+    assert got == {(20, k): 2 for k in range(1, 11)}
 
 
 def test_bpe(docs, rows, none):
@@ -269,8 +311,16 @@ def test_urls_relative(spark):
         (4, "http://q.net", '<meta http-equiv="refresh" content="0; url=dir/two">'), (5, "http://q.net/k/l", "<link rel=canonical href=../>"), (6, "http://r.net/s/t", "<link rel=canonical href='?id=3'>"),
         (7, "http://r.net/s/t?id=3", '<base href="http://q.net/dir/"><link href=two rel=canonical>'), (8, "http://q.net/mail", "<link rel=canonical href=mailto:a@b.com/de/x>"), (9, "http://q.net/no", '<link rel="canonicals" href="dir/two"><link rel="next" href="dir/two">'),
     ]
-    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("verdict = 'block'").collect()
-    assert {r["page_id"] for r in found} == {1, 2, 3, 4, 5, 6, 7}
+    pages += [
+        (10, "http://s.net/a", '<!-- <link rel="canonical" href="http://b.com/de/x"> --><p>'), (11, "http://s.net/b", '<link rel="canonical" href="http://s.net/c"><link rel=canonical href=http://b.com/de/x>'),
+        (12, "http://s.net/c", None), (None, "http://s.net/c", ""), (13, None, "<link rel=canonical href=/x>"), (14, "http://s.net/d", '<meta http-equiv=refresh content="1;url=c"><meta http-equiv=refresh content="2;url=/q">'), (14, "http://s.net/d", ""),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = urls.judge(table).collect()
+    assert {r["page_id"] for r in found if r["verdict"] == "block"} == {1, 2, 3, 4, 5, 6, 7, 11, 12, None, 14} and len(found) == len(pages)
+    con = duckdb.connect()
+    con.register("pages", table.toPandas().astype({"page_id": "Int64"}))
+    assert sorted(map(str, con.execute(urls.SQL).fetchall())) == sorted(str(tuple(r)) for r in found)
 
 
 def edits(a, b):
@@ -310,6 +360,14 @@ def test_lines(spark, docs, rows, none):
     found = linededup.dedup(spark.createDataFrame(own, "doc_id long, text string").withColumn("near", F.lit(1))).collect()
     assert {r["doc_id"]: r["text"] for r in found} == want and len(found) == len(own) and found[0]["near"] == 1
     assert linededup.dedup(none).count() == 0 and linededup.dedup(docs).count() == len(rows)
+    clash = spark.createDataFrame([(1, "a b\na b", 5, 6, 7)], "doc_id long, text string, n_lines int, doc_of int, gone_at int")
+    out = linededup.dedup(clash)
+    assert out.columns == [*clash.columns, "n_lines_", "n_exact", "n_near"] and tuple(out.first()) == (1, "a b", 5, 6, 7, 2, 1, 0)
+    short = [(1, "a\nb c\nb c d"), (2, "b x\nq r s t\nz"), (3, "r s t\nq r s u v")]
+    left = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(short, "doc_id long, text string"), min_words=1).collect()}
+    assert left == {1: "a\nb c", 2: "q r s t", 3: "q r s u v"}
+    many = "\n".join(f"line {i // 2}" for i in range(30_000))
+    assert linededup.dedup(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()["text"] == "\n".join(f"line {i}" for i in range(15_000))
     python = [x for x in ("Python", "Pandas", "Arrow") if x in linededup.dedup(docs)._jdf.queryExecution().executedPlan().toString()]
     assert not python
 
@@ -328,6 +386,46 @@ def test_languages(spark, docs, rows, none):
     assert kept.where("doc_id >= 10").count() == sum(r[0] is not None and r[0] >= 10 for r in rows)
 
 
+def naive_trigrams(text):
+    clean = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    clean = re.sub(" +", " ", clean)
+    return collections.Counter(clean[i : i + 3] for i in range(len(clean) - 2))
+
+
+def test_languages_by_brute_force(spark):
+    own = [(i, prose(i, 30, WORDS if i % 2 else "le la les des être été".split()), "en" if i % 2 else "fr") for i in range(40)] + [(50, "", "en"), (51, None, "fr"), (52, "Ünß 中文", None)]
+    sign = lambda c: np.random.default_rng([langid.SEED, ord(c)]).integers(0, 2, langid.DIMS, np.int8).astype(int) * 2 - 1
+    vector = lambda g: np.roll(sign(g[0]), 2) * np.roll(sign(g[1]), 1) * sign(g[2])
+    profile = lambda counts: sum((n * vector(g) for g, n in counts.items()), np.zeros(langid.DIMS))
+    learned = [profile(sum((naive_trigrams(t) for i, t, x in own if x == lang and zlib.crc32(str(i).encode()) % 3 != 1), collections.Counter())) for lang in ("en", "fr")]
+    unit = np.stack([v / np.linalg.norm(v) for v in learned])
+    centred = unit - unit.mean(0)
+    centred /= np.linalg.norm(centred, axis=1, keepdims=True)
+    for r in langid.identify(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect():
+        p = profile(naive_trigrams(next(t for i, t, _ in own if i == r["doc_id"])))
+        if not p.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        near = centred @ p / np.linalg.norm(p)
+        assert r["lang_pred"] == ("en", "fr")[int(near.argmax())] and abs(r["score"] - max(0, near.max())) < 1e-6
+
+
+def test_long_texts_of_many_letters():
+    rng, letters = np.random.default_rng(9), langid.Letters()
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 330_000))) + " — " * 9
+    prototypes = rng.normal(size=(3, langid.DIMS))
+    tracemalloc.start()
+    sizes, near = langid.cosines(letters, [han, "ab", None], prototypes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and sizes.tolist() == [330_000, 2, 0]
+    own = list(letters.runs([han], 1000))
+    assert sum(len(p) for p, _ in own) - 2 * (len(own) - 1) == 330_002  # what runs repeat are two points each
+    small = "Zwei ÄÖ 12 drei"
+    a, b = (collections.Counter(tuple(p[i : i + 3]) for p, _ in letters.runs([small], n) for i in range(len(p) - 2)) for n in (3, 100))
+    assert a == b and near.shape == (3, 3)
+
+
 def test_unknown_languages_go(spark):
     vocabularies = {
         "en": WORDS, "fr": "le la les des une dans pour avec être qui est sur pas plus".split(),
