@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lectern.llm.chunks import chunked
-from lectern.llm.common import in_arrow, release, schema_of, slices
+from lectern.llm.common import BATCH_BYTES, in_arrow, release, schema_of, slices
 
 #: Pre-tokens of more bytes have a matrix of one row.
 LONG = 512
@@ -201,7 +201,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     known[c] = (sum(sizes[i] for i in span), " ".join([said[i] for i in span]), b"".join([back[i] for i in span]))
 
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, BATCH_BYTES):
                 if len(known) > most:
                     known.clear()
                 found, texts = chunked(batch.column(1))
