@@ -17,6 +17,11 @@ def day_of(raw: Column) -> Column:
     return F.when(known, F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
+def dashed(raw: Column) -> Column:
+    """A camera's date (2020:01:31 10:00:00) with dashes in its day, as ISO has it; any other text stays."""
+    return F.regexp_replace(raw, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
+
+
 def month_of(raw: Column) -> Column:
     """The first seven characters: year and month."""
     return F.substring(raw.cast("string"), 1, 7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +53,41 @@ def branch(tag: Column, levels: int = 2) -> Column:
 
 
 def bar(n: Column, total: Column, width: int = 40) -> Column:
-    return F.repeat(F.lit("█"), F.floor(F.try_divide(n * width, total)).cast("int"))
+    """A bar that is full when n is all of total: the sum of a breakdown, or its largest part."""
+    return F.repeat(F.lit("█"), F.coalesce(F.floor(F.try_divide(n * width, total)).cast("int"), F.lit(0)))
+
+
+def share_bar(hits: Column, total: Column, width: int = 20) -> Column:
+    """A bar of a rate, rounded to the nearest mark, halves to the even one."""
+    return F.repeat(F.lit("#"), F.coalesce(F.bround(F.try_divide(hits * width, total)).cast("int"), F.lit(0)))
+
+
+def value_suffix(name: str, value: Column) -> Column:
+    """A custom value behind a line, as ` <name: value>`; nothing where there is none, or where it is blank, false or 0."""
+    text = F.nullif(value.cast("string"), F.lit(""))
+    return F.coalesce(F.when(~text.isin("0", "0.0", "false"), F.concat(F.lit(f" <{name}: "), text, F.lit(">"))), F.lit(""))
+
+
+def wrap(text: str | None, width: int = 96, indent: str = "  ") -> str:
+    """Words in lines of width characters at most, but for a word that is longer by itself."""
+    words = (text or "").split()
+    lines: list[str] = words[:1]
+    for word in words[1:]:
+        if len(lines[-1]) + 1 + len(word) <= width:
+            lines[-1] += f" {word}"
+        else:
+            lines.append(word)
+    return "\n".join(indent + line for line in lines or ["(empty)"])
+
+
+def wrapped(text: Column, width: int = 96) -> Column:
+    """wrap() over a column."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: wrap(t, width))
+
+    return run(text)
 
 
 def human_size(n: Column) -> Column:

@@ -7,12 +7,14 @@ import io
 import posixpath
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Signatures of PDF locks and their makers; ways to scramble fonts; what font files are called.
 PDF_LOCKS = (("EBX_HANDLER", "Adobe ADEPT"), ("FOPN_foweb", "FileOpen"), ("FOPN_fLock", "FileOpen"), ("ns.adobe.com/adept", "Adobe ADEPT"))
@@ -209,6 +211,44 @@ def locks(files: DataFrame) -> DataFrame:
     return files.select("path", verdict.alias("v")).select("path", "v.status", "v.kind")
 
 
+def read_with(files: DataFrame, readers: dict[str, Callable[[bytes], dict | None]], schema: str, columns: tuple[str, ...] = ("path",)) -> DataFrame:
+    """files (path, content) with what a reader of their extension makes of their bytes, as columns of schema: text and metadata
+    of formats whose tools are not at hand, numbers of pages, ways of encryption. A reader gives a dictionary, or None; it need
+    not mind errors. `readable` tells null where no reader is known, else whether the reader gave something. A file at a time is
+    held."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                reader = readers.get(row["path"].rpartition(".")[2].lower())
+                try:
+                    got = reader(row["content"]) if reader and row["content"] is not None else None
+                except Exception:  # a file of any shape may come; it is told as unreadable
+                    got = None
+                rows.append([row[c] for c in columns] + [bool(got) if reader else None] + [(got or {}).get(n) for n in names])
+            yield pd.DataFrame(rows, columns=[*columns, "readable", *names], dtype=object)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*columns).schema)
+    return files.select(*dict.fromkeys((*columns, "path", "content"))).mapInPandas(run, f"{own}, readable boolean, {schema}")
+
+
+def first_readable(read: DataFrame, key: str = "id") -> DataFrame:
+    """(key, state, path, text) out of read_with(): the first file by path that gives a text. state: READ; UNREADABLE, where
+    files of known formats gave nothing; SKIPPED, where no format is known."""
+    has = F.coalesce(F.col("text") != "", F.lit(False))
+    best = F.min(F.when(has, F.struct("path", "text"))).alias("best")
+    found = read.groupBy(key).agg(best, F.count("readable").alias("known"))
+    state = F.when(F.col("best").isNotNull(), "READ").when(F.col("known") > 0, "UNREADABLE").otherwise("SKIPPED")
+    return found.select(key, state.alias("state"), "best.path", "best.text")
+
+
+def missing_files(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, flags): listed files that are not there."""
+    return listed.join(files.select(F.col("path").alias("__path")), F.col("path") == F.col("__path"), "left_anti").select("path", F.array(F.lit("FILE_MISSING")).alias("flags"))
+
+
 def file_flags(files: DataFrame) -> DataFrame:
     """(path, flags): what is wrong with EPUB and PDF files."""
     ext, content = extension(F.col("path")), F.col("content")

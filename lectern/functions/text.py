@@ -58,6 +58,27 @@ def plain_text(column: Column) -> Column:
     return decoded(bare)
 
 
+def title_case(column: Column) -> Column:
+    """Each run of letters with a capital first and small letters after it, whatever stands before the run."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(str.title, na_action="ignore")
+
+    return run(column)
+
+
+def from_octal(column: Column) -> Column:
+    """Text with its bytes beyond ASCII written as a backslash and three octal digits, as UTF-8 again; what is no UTF-8 becomes
+    the replacement character."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: re.sub(rb"\\([0-3][0-7]{2})", lambda m: bytes([int(m[1], 8)]), x.encode()).decode(errors="replace"), na_action="ignore")
+
+    return run(column)
+
+
 def check_pattern(pattern: str) -> None:
     """Raises re.error if the pattern is no regular expression."""
     re.compile(pattern, re.IGNORECASE)

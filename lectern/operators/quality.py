@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import UNDEFINED, day_of
 from lectern.functions.display import primary_author
 from lectern.functions.isbn import amazon_is_isbn
-from lectern.functions.text import collapse, plain_text, strip
+from lectern.functions.text import collapse, plain_text, strip, title_case
 from lectern.operators.reports import gaps, series_rollup
+from lectern.operators.scope import under
 
 #: Formats that nothing reads any more.
 DEPRECATED_FORMATS = ("MOBI", "LIT", "LRF", "DJVU", "PDB", "AZW")
@@ -67,21 +68,34 @@ def item_issues(items: DataFrame, covers: DataFrame | None = None) -> DataFrame:
         rows = items.join(covers.select(F.col("id").alias("__id"), F.col("width").alias("__w"), F.col("height").alias("__h")), F.col("id") == F.col("__id"), "left")
         small = F.greatest("__w", "__h") < 500
         rules += [(has_cover & F.col("__id").isNull(), "cover_file_missing"), (has_cover & small, F.concat(F.lit("low_res_cover("), F.col("__w"), F.lit("x"), F.col("__h"), F.lit(")")))]
-    return rows.select("id", "title", primary_author(F.col("authors")).alias("author"), _list(*rules).alias("issues")).where(F.size("issues") > 0)
+    return rows.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author_sort", F.lit("")).alias("author"), _list(*rules).alias("issues")).where(F.size("issues") > 0)
+
+
+def _twin_keys(items: DataFrame) -> DataFrame:
+    named = items.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce(F.size("authors"), F.lit(0)) > 0))
+    return named.select("id", F.lower(strip(F.col("title"))).alias("title_key"), F.lower(strip(primary_author(F.col("authors")))).alias("author_key"))
+
+
+def duplicate_members(items: DataFrame) -> DataFrame:
+    """(id, first, n): each item of a group of duplicate_items(), with the group's smallest id and size. Groups of any size:
+    counts are gathered before they are shuffled, and no task lists a group."""
+    keys = _twin_keys(items)
+    groups = keys.groupBy("title_key", "author_key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(groups, ["title_key", "author_key"]).select("id", "first", "n")
 
 
 def duplicate_items(items: DataFrame) -> DataFrame:
-    """(title_key, author_key, ids array, n): items that agree in title and primary author but for case and outer blanks."""
-    keys = items.select("id", F.lower(strip(F.coalesce("title", F.lit("")))).alias("title_key"), F.lower(strip(primary_author(F.col("authors")))).alias("author_key"))
-    return keys.groupBy("title_key", "author_key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n")).where("n > 1")
+    """(title_key, author_key, ids array, n): items that agree in title and primary author but for case and outer blanks. Items
+    without a title or an author agree with none. The ids of a group are one value; duplicate_members() has them in rows."""
+    return _twin_keys(items).groupBy("title_key", "author_key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n")).where("n > 1")
 
 
 def audit(items: DataFrame, covers: DataFrame | None = None) -> DataFrame:
     """(section, id, title, author, issue_type, issues): issues of items, duplicates and gaps in series, of one shape."""
-    own = item_issues(items, covers).select(F.lit("book").alias("section"), F.col("id").cast("string").alias("id"), "title", "author", F.lit("metadata").alias("issue_type"), F.array_join("issues", "; ").alias("issues"))
-    twice = duplicate_items(items).select(F.lit("duplicate"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), "title_key", "author_key", F.lit("duplicate_books"), F.concat(F.lit("duplicate_books: "), F.col("n")))
+    own = item_issues(items, covers).select(F.lit("book").alias("section"), F.col("id").cast("string").alias("id"), "title", "author", F.lit("book").alias("issue_type"), F.array_join("issues", ", ").alias("issues"))
+    twice = duplicate_items(items).select(F.lit("duplicate"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), title_case(F.col("title_key")), title_case(F.col("author_key")), F.lit("duplicate"), F.lit("duplicate_books"))
     missing = gaps(F.col("indices"), F.col("last"))
-    series = series_rollup(items).select(F.lit("series_gap"), F.lit(""), "series", F.lit(""), F.lit("series_gap"), F.array_join(missing.cast("array<string>"), ", ").alias("g")).where("g <> ''")
+    series = series_rollup(items).select(F.lit("series_gap"), F.lit(""), "series", F.lit(""), F.lit("series_gap"), F.concat(F.lit("missing indices: "), F.nullif(F.array_join(missing.cast("array<string>"), ", "), F.lit(""))).alias("g")).where("g is not null")
     return own.union(twice).union(series)
 
 
@@ -115,10 +129,10 @@ def date_findings(books: DataFrame, column: str = "pubdate") -> DataFrame:
 
 
 def identifier_type_findings(identifiers: DataFrame, column: str = "type", strict: bool = False, forbidden=FORBIDDEN_TYPES, known=KNOWN_TYPES) -> DataFrame:
-    """(type, n, code): identifier types that are forbidden, and with strict those that nobody declared."""
+    """(type, n, code, severity): identifier types that are forbidden (E), and with strict those that nobody declared (W)."""
     counts = identifiers.groupBy(F.col(column).alias("type")).agg(F.count("*").alias("n"))
     code = F.when(F.lower("type").isin(*forbidden), "ID_TYPE_FORBIDDEN").when(F.lit(strict) & ~F.lower("type").isin(*known), "ID_TYPE_UNDECLARED")
-    return counts.withColumn("code", code).where("code is not null")
+    return counts.withColumns({"code": code, "severity": F.when(F.endswith(code, F.lit("FORBIDDEN")), "E").otherwise("W")}).where("code is not null")
 
 
 def amazon_findings(identifiers: DataFrame) -> DataFrame:
@@ -147,6 +161,41 @@ def exclusive_format(tagged: DataFrame, key: str, has: Column, lacks: Column, la
     return found.where("a > 0 and b = 0").select(key, "labels")
 
 
+def linked(rows: DataFrame, links: DataFrame, key: str, link_key: str) -> DataFrame:
+    """Rows that something links to."""
+    return rows.join(links.select(F.col(link_key).alias("__k")), F.col(key) == F.col("__k"), "left_semi")
+
+
+def publisher_findings(publishers: DataFrame, canonicals: dict[str, list[str]], column: str = "name") -> DataFrame:
+    """Findings for publishers that stand under another name of theirs. canonicals: the names that each right one goes by."""
+    right = {alias: name for name, aliases in canonicals.items() for alias in aliases}
+    if not right:
+        return finding(publishers.limit(0), "PUBLISHER_NOT_CONSOLIDATED", "W", F.col(column), F.col(column))
+    to = F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(right.items()) for x in pair)), F.col(column))
+    found = publishers.select(column).where(F.col(column).isin(*right)).distinct()
+    return finding(found, "PUBLISHER_NOT_CONSOLIDATED", "W", F.col(column), F.concat(F.lit("goes by "), to))
+
+
+def pdf_only_findings(items: DataFrame, branches: tuple[str, ...], wanted: bool = True) -> DataFrame:
+    """One finding for each item in the branches that has a PDF and no EPUB, with its tags there; none unless EPUB is wanted."""
+    inside = F.filter(F.col("tags"), lambda t: under(t, branches))
+    pdf_only = F.array_contains("formats", "PDF") & ~F.array_contains("formats", "EPUB") & (F.size(inside) > 0)
+    return finding(items.where(pdf_only & F.lit(bool(wanted and branches))), "FORMAT_FICTION_PDF", "W", F.col("id"), F.array_join(inside, ", "))
+
+
+def exit_code(findings: DataFrame) -> int:
+    """1 if some finding is an error."""
+    return int(not findings.where("severity = 'E'").isEmpty())
+
+
+def shown(findings: DataFrame, most: int = 5) -> DataFrame:
+    """findings with `rank` and `total` of each code, the first ones of each code only: what a short report prints."""
+    own = Window.partitionBy("severity", "code")
+    total = findings.groupBy("severity", "code").agg(F.count("*").alias("total"))
+    ranked = findings.withColumn("rank", F.row_number().over(own.orderBy(F.col("id").try_cast("long"), "id", "message"))).where(F.col("rank") <= most)
+    return by_severity(ranked.join(total, ["severity", "code"]))
+
+
 def by_severity(findings: DataFrame) -> DataFrame:
     """Errors first, then by code and id."""
     return findings.orderBy(F.array_position(F.array(F.lit("E"), F.lit("W")), F.col("severity")), "code", "id")
@@ -262,6 +311,12 @@ def upsert(ledger: DataFrame, news: DataFrame, key: str = "id") -> DataFrame:
     return ledger.join(news, key, "left_anti").unionByName(news)
 
 
+def ledger_summary(ledger: DataFrame) -> DataFrame:
+    """One row: judged records, and those of which something was found bad."""
+    bad = F.exists(F.array("title", "author", "comment"), lambda v: F.coalesce(v == "BAD", F.lit(False)))
+    return ledger.agg(F.count("*").alias("judged"), F.count_if(bad).alias("bad"))
+
+
 def worklist(ledger: DataFrame) -> DataFrame:
     """(id, field, note): what was found bad."""
     return ledger.unpivot(["id", "note"], ["title", "author", "comment"], "field", "verdict").where("verdict = 'BAD'").select("id", "field", "note")

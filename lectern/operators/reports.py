@@ -81,6 +81,23 @@ def series_rollup(items: DataFrame, series: str = "series", index: str = "series
     return rows.groupBy("series").agg(F.count("*").alias("n"), F.max("i").alias("last"), F.array_sort(F.collect_set("i")).alias("indices"), F.transform(ordered, lambda x: x["t"]).alias("titles"))
 
 
+def series_by(rollup: DataFrame, order: str = "name") -> DataFrame:
+    """series_rollup() by name, by name whatever the case (fold), or by size, largest first (size)."""
+    return rollup.orderBy(*{"name": ("series",), "fold": (F.lower("series"), "series"), "size": (F.desc("n"), "series")}[order])
+
+
+def top_series(items: DataFrame, n: int = 10) -> DataFrame:
+    """(series, n): the largest series, equal ones by name; counted without their titles."""
+    rows = items.where(F.col("series").isNotNull() & (F.col("series") != ""))
+    return rows.groupBy("series").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "series").limit(n)
+
+
+def largest(files: DataFrame, n: int | None = None, size: str = "size", key: str = "path") -> DataFrame:
+    """Files by size, largest first, equal ones by path."""
+    found = files.orderBy(F.desc(size), key)
+    return found.limit(n) if n is not None else found
+
+
 def gaps(indices: Column, last: Column) -> Column:
     """The whole numbers from 1 to last that are not among the indices; broken ones count for nothing."""
     whole = F.transform(F.filter(indices, lambda x: x == F.floor(x)), lambda x: x.cast("int"))
@@ -119,6 +136,17 @@ def tag_tree(tags: DataFrame, column: str = "name") -> DataFrame:
     return paths.orderBy("p").select(F.array_join("p", ".").alias("path"), (F.size("p") - 1).alias("depth"), F.element_at("p", -1).alias("label"))
 
 
+def compression_summary(advised: DataFrame, verdicts: tuple[str, ...] = ("ebook", "printer", "skip-already-low-dpi", "skip-optimized", "skip-small", "manual")) -> DataFrame:
+    """(advice, files, bytes, saved): what functions.files.compression_advice() says of all files, in a fixed order, without what
+    does not occur. saved: bytes that the two ways of shrinking are thought to save, of which images make up a part."""
+    dpi = F.col("avg_dpi")
+    share = F.when(F.col("advice") == "ebook", F.floor(100 * (1 - F.pow(150 / dpi, F.lit(2)))) * 0.85)
+    share = share.when(F.col("advice") == "printer", F.when(dpi > 300, F.floor(100 * (1 - F.pow(300 / dpi, F.lit(2))))).otherwise(30) * 0.75)
+    rows = advised.withColumn("__saved", F.floor(F.col("size") * F.coalesce(share, F.lit(0.0)) / 100))
+    rank = F.array_position(F.array(*map(F.lit, verdicts)), F.col("advice"))
+    return rows.groupBy("advice").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("__saved").alias("saved")).orderBy(rank)
+
+
 def view_flags(items: DataFrame, registry: FieldRegistry, as_of=None) -> tuple[dict[str, Column], dict[str, str]]:
     """A condition for each named view that compiles, and the errors of those that don't."""
     compiler, flags, errors = Compiler(items, registry, as_of), {}, {}

@@ -287,6 +287,27 @@ class Compiler:
         return F.exists(entries, lambda e: F.coalesce(part(e, "k", key) & part(e, "v", own), F.lit(False)))
 
 
+def fields_of(text: str, registry: FieldRegistry, seen: frozenset[str] = frozenset()) -> set[str]:
+    """The fields, by their canonical names, that a search looks at, in the views that it names too."""
+    if not text.strip():
+        return set()
+    found, rest = set(), [parse(text.strip(), registry.names())]
+    while rest:
+        tree = rest.pop()
+        if isinstance(tree, (And, Or)):
+            rest += [tree.left, tree.right]
+        elif isinstance(tree, Not):
+            rest.append(tree.inner)
+        elif (name := ALIASES.get(tree.field, tree.field)) == "all":
+            found |= set(ALL_FIELDS)
+        elif name == "vl":
+            if tree.value.lower() not in seen:
+                found |= fields_of(registry.views.get(tree.value, ""), registry, seen | {tree.value.lower()})
+        else:
+            found.add(name)
+    return found
+
+
 def search(items: DataFrame, text: str, registry: FieldRegistry | None = None, as_of: date | None = None) -> DataFrame:
     """The rows of items that an expression finds."""
     return items.where(Compiler(items, registry, as_of).predicate(text))

@@ -47,7 +47,6 @@ _find("search_text_exact", 'title:"=Red Widget"', "lower(title) = 'red widget'")
 _find("search_text_regex", 'title:"~^(red|blue).*g"', "regexp_matches(title, '^(red|blue).*g', 'i')")
 _find("search_hier_anchored", "tags:promo", "lower(p_type) = 'promo'")
 _find("search_hier_exact", 'tags:"=size.7"', "p_size = 7")
-_find("search_hier_below", 'tags:"=.size"', "true")
 _find("search_hier_component", "tags:=..Brand#7", "p_brand = 'Brand#7'")
 _find("search_hier_accent", "tags:^rand#1", "contains(lower(p_brand), 'rand#1')")
 _find("search_numeric_rel", "rating:>=4", "rating >= 4")
@@ -57,7 +56,6 @@ _find("search_numeric_not_equal", "rating:!=4", "rating <> 4")
 _find("search_numeric_presence", "rating:false", "rating IS NULL")
 _find("search_bool", "cover:yes", "cover")
 _find("search_identifiers", "identifiers:brand:=Brand#3", "lower(p_brand) = 'brand#3'")
-_find("search_identifiers_presence", "identifiers:isbn:false", "true")
 _find("search_identifiers_value", "identifiers:econ", "contains(lower(p_type), 'econ')")
 _find("search_bool_nested", "(tags:promo or tags:large) not (rating:<2 or cover:true)", "p_type IN ('PROMO', 'LARGE') AND NOT coalesce(rating < 2, false) AND NOT cover")
 _find("search_vl_inline", "vl:Loved or vl:Big", f"({VIEW_SQL['Loved']}) OR ({VIEW_SQL['Big']})")
@@ -86,12 +84,6 @@ def items_denormalised(spark, sf_dir):
     return part_items_full(spark, sf_dir).withColumns(joined).select("id", "title", "authors", "formats", "tags", "series", "series_index", "rating", "publisher", "timestamp", "pubdate")
 
 
-@query("SELECT l_partkey AS id, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS authors FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey")
-def list_agg_authors(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.groupBy(F.col("l_partkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("s_name")), ", ").alias("authors"))
-
-
 @query("SELECT o_orderkey AS id, o_orderpriority AS name, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def tag_counts_incl_zero(spark, sf_dir):
     return reports.tag_counts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "o_orderpriority", "l_orderkey")
@@ -149,12 +141,6 @@ def stats_distinct_counts(spark, sf_dir):
     return reports.distinct_counts(part_items_full(spark, sf_dir)).select("items", "authors", "tags", "series", "publishers", "no_cover")
 
 
-@query("SELECT l_orderkey AS series, count(*) AS n, max(l_linenumber)::DOUBLE AS last, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) AS indices FROM lineitem GROUP BY 1")
-def series_rollup(spark, sf_dir):
-    rollup = reports.series_rollup(table(spark, sf_dir, "lineitem").withColumn("l_orderkey", F.col("l_orderkey").cast("string")), "l_orderkey", "l_linenumber", "l_returnflag")
-    return rollup.select(F.col("series").cast("long").alias("series"), "n", "last", F.array_join(F.transform("indices", lambda x: x.cast("int").cast("string")), ",").alias("indices"))
-
-
 @query("WITH m AS (SELECT l_orderkey, max(l_linenumber) AS last FROM lineitem GROUP BY 1), want AS (SELECT l_orderkey, unnest(range(1, last + 1)) AS i FROM m), gap AS (SELECT want.* FROM want ANTI JOIN lineitem l ON l.l_orderkey = want.l_orderkey AND l.l_linenumber = want.i) SELECT l_orderkey AS series, string_agg(i, ',' ORDER BY i) AS gaps FROM gap GROUP BY 1")
 def series_gaps(spark, sf_dir):
     rollup = reports.series_rollup(table(spark, sf_dir, "lineitem").withColumn("l_orderkey", F.col("l_orderkey").cast("string")), "l_orderkey", "l_linenumber", "l_returnflag")
@@ -225,12 +211,6 @@ def lint_missing_child(spark, sf_dir):
     return quality.without(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey").select(F.col("o_orderkey").alias("id"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def lint_semi(spark, sf_dir):
-    marked = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
-    return table(spark, sf_dir, "orders").join(marked, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("id"))
-
-
 @query("SELECT md5(text) AS value, count(DISTINCT doc_id) AS owners FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1")
 def lint_duplicate_identifier(spark, sf_dir):
     return quality.duplicate_values(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("value")), "value", "doc_id")
@@ -260,12 +240,6 @@ def lint_exclusive_format(spark, sf_dir):
     return quality.exclusive_format(table(spark, sf_dir, "lineitem"), "l_orderkey", flag == "A", flag == "R", F.col("l_linestatus")).select(F.col("l_orderkey").alias("id"), "labels")
 
 
-@query("SELECT doc_id AS id, 'COMMENT_STUB:' || length(trim(text, chr(10) || ' ')) AS flags FROM documents WHERE length(trim(text, chr(10) || ' ')) BETWEEN 1 AND 119 AND NOT contains(text, '<') AND NOT contains(text, '&')")
-def lint_comment_stub(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("<") & ~F.col("text").contains("&"))
-    return docs.select(F.col("doc_id").alias("id"), F.array_join(quality.comment_flags(F.col("text")), ",").alias("flags")).where("flags like 'COMMENT_STUB%'")
-
-
 @query("SELECT page_id, length(trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<style[^>]*>.*?</style>', ' ', 'gs'), '<script[^>]*>.*?</script>', ' ', 'gs'), '<[^>]+>', ' ', 'gs'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), chr(10) || chr(9) || chr(13) || ' '))::BIGINT AS n FROM pages")
 def plain_text_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain_text(F.col("html"))).cast("long").alias("n"))
@@ -330,11 +304,6 @@ def branch_hit_rate(spark, sf_dir):
     return reports.hit_rate(rows.withColumn("hit", F.col("l").isNotNull()), "branch", "hit")
 
 
-@query(f"WITH {PART_FULL_SQL} SELECT id, title, array_to_string(authors, ', ') AS authors, author_sort, array_to_string(tags, ', ') AS tags, series, array_to_string(formats, ', ') AS formats, publisher, '' AS languages, coalesce(timestamp, '') AS added, cover::INT AS has_cover FROM items")
-def export_csv_projection(spark, sf_dir):
-    return export.csv_rows(part_items_full(spark, sf_dir)).drop("rating", "series_index")
-
-
 @query(f"WITH {PART_SQL} SELECT id, title || ' by ' || author_sort || ' (' || series || ' #' || p_size || '.0) [' || array_to_string(tags, ', ') || ']' || CASE WHEN rating IS NULL THEN '' ELSE ' ' || rating::VARCHAR || '/5' END AS line FROM items")
 def export_ai_lines(spark, sf_dir):
     return export.ai_lines(part_items(spark, sf_dir))
@@ -352,12 +321,6 @@ def lt_batches(spark, sf_dir):
     return export.lt_batches(export.lt_rows(items, {"status": "state"})).select("id", "is_read", F.col("batch").cast("long").alias("batch"))
 
 
-@query("SELECT count(*) AS rows, 0::BIGINT AS with_isbn, count(*) AS with_pages, 0::BIGINT AS with_call_number FROM part")
-def lt_summary(spark, sf_dir):
-    items = part_items(spark, sf_dir).withColumn("sheets", F.col("series_index").cast("int"))
-    return export.lt_summary(export.lt_rows(items, {"pages": "sheets"}))
-
-
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def lookup_misses(spark, sf_dir):
     return lookup.misses(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Collection
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.display import stars
 from lectern.plans.fields import FieldRegistry, custom_kind
+from lectern.plans.predicates import fields_of, search
 
 #: The tables of a catalog that need not be there.
 OPTIONAL = ("comments", "preferences", "custom_columns", "books_pages_link")
@@ -53,9 +56,16 @@ class Library:
         rows = self._read(link).alias("l").join(self._read(entity).alias("e"), F.col(f"l.{ref}") == F.col("e.id"))
         return rows.groupBy(F.col("l.book").alias("__book")).agg(F.max_by(F.col(f"e.{value}"), F.col("l.id")).alias(name))
 
-    def items(self, split_commas: bool = True, custom: bool = True) -> DataFrame:
+    def find(self, text: str, as_of=None) -> DataFrame:
+        """The items that a search finds, with the columns of books and of what the search looks at: nothing else is joined."""
+        registry = self.registry()
+        return search(self.items(only=fields_of(text, registry)), text, registry, as_of)
+
+    def items(self, split_commas: bool = True, custom: bool = True, only: Collection[str] | None = None) -> DataFrame:
         """One row for each book, with everything that searches and reports use. Every side is gathered by book before it is
-        joined. split_commas: names with commas become several values, as in joined lists."""
+        joined. split_commas: names with commas become several values, as in joined lists. only: of what lies in other tables
+        these columns (#label for custom ones); each column less is a join less."""
+        wants = lambda name: only is None or name in only
         books, none = self._read("books"), F.array().cast("array<string>")
         out = books.select(
             F.col("id").cast("long").alias("id"), "title", F.col("sort").alias("title_sort"), "author_sort", F.col("timestamp").cast("string").alias("timestamp"), F.col("pubdate").cast("string").alias("pubdate"),
@@ -63,23 +73,29 @@ class Library:
             F.col("series_index").cast("double").alias("series_index"), "path", (F.col("uuid") if "uuid" in books.columns else F.lit(None).cast("string")).alias("uuid"),
         )
         lists = (("authors", "books_authors_link", "author", "name", "id"), ("tags", "books_tags_link", "tag", "name", None), ("languages", "books_languages_link", "lang_code", "lang_code", None))
-        for entity, link, ref, value, order in lists:
+        for entity, link, ref, value, order in (side for side in lists if wants(side[0])):
             values = F.coalesce(f"__{entity}", none)
             if split_commas:
-                values = F.filter(F.flatten(F.transform(values, lambda x: F.transform(F.split(x, ","), F.trim))), lambda x: x != "")
+                values = F.filter(F.flatten(F.transform(values, lambda x: F.transform(F.split(x, ","), lambda v: F.trim(v)))), lambda x: x != "")
             out = out.join(self._linked(link, entity, ref, value, order), F.col("id") == F.col("__book"), "left").withColumn(entity, values).drop("__book", f"__{entity}")
-        data = self._read("data").groupBy(F.col("book").alias("__book")).agg(F.array_sort(F.collect_list("format")).alias("__f"))
-        out = out.join(data, F.col("id") == F.col("__book"), "left").withColumn("formats", F.coalesce("__f", none)).drop("__book", "__f")
+        if wants("formats"):
+            data = self._read("data").groupBy(F.col("book").alias("__book")).agg(F.array_sort(F.collect_list("format")).alias("__f"))
+            out = out.join(data, F.col("id") == F.col("__book"), "left").withColumn("formats", F.coalesce("__f", none)).drop("__book", "__f")
         for name, link, entity, ref, value in (("series", "books_series_link", "series", "series", "name"), ("publisher", "books_publishers_link", "publishers", "publisher", "name"), ("rating_raw", "books_ratings_link", "ratings", "rating", "rating")):
-            out = out.join(self._one(link, entity, ref, value, name), F.col("id") == F.col("__book"), "left").drop("__book")
-        out = out.withColumns({"rating_raw": F.col("rating_raw").cast("int"), "rating": stars(F.col("rating_raw").cast("int"))})
-        ids = self._read("identifiers").groupBy(F.col("book").alias("__book"), "type").agg(F.max("val").alias("val")).groupBy("__book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "val")))).alias("__ids"))
-        out = out.join(ids, F.col("id") == F.col("__book"), "left").withColumn("identifiers", F.coalesce("__ids", F.create_map().cast("map<string,string>"))).drop("__book", "__ids")
-        if (comments := self.table("comments")) is not None:
+            if wants(name.removesuffix("_raw")):
+                out = out.join(self._one(link, entity, ref, value, name), F.col("id") == F.col("__book"), "left").drop("__book")
+        if wants("rating"):
+            out = out.withColumns({"rating_raw": F.col("rating_raw").cast("int"), "rating": stars(F.col("rating_raw").cast("int"))})
+        if wants("identifiers"):
+            ids = self._read("identifiers").groupBy(F.col("book").alias("__book"), "type").agg(F.max("val").alias("val")).groupBy("__book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "val")))).alias("__ids"))
+            out = out.join(ids, F.col("id") == F.col("__book"), "left").withColumn("identifiers", F.coalesce("__ids", F.create_map().cast("map<string,string>"))).drop("__book", "__ids")
+        if wants("comments") and (comments := self.table("comments")) is not None:
             out = out.join(comments.groupBy(F.col("book").alias("__book")).agg(F.max("text").alias("comments")), F.col("id") == F.col("__book"), "left").drop("__book")
-        else:
+        elif wants("comments"):
             out = out.withColumn("comments", F.lit(None).cast("string"))
         for column in self.custom_columns() if custom else ():
+            if not wants(f"#{column['label']}".lower()):
+                continue
             out = out.join(self.custom_values(column["name"]).select(F.col("book").alias("__book"), F.col("value").alias(f"#{column['label']}")), F.col("id") == F.col("__book"), "left").drop("__book")
         return out
 
@@ -97,6 +113,14 @@ class Library:
         """Tag names, used or not, in order."""
         return self._read("tags").select("name").distinct().orderBy("name")
 
+    def ids(self) -> DataFrame:
+        return self._read("books").select(F.col("id").cast("long").alias("id"))
+
+    def identified(self, kind: str = "isbn") -> DataFrame:
+        """(id, title, path, val): the books with an identifier of a kind; the largest if there are several."""
+        own = self._read("identifiers").where(F.col("type") == kind).groupBy(F.col("book").alias("__book")).agg(F.max("val").alias("val"))
+        return self._read("books").join(own, F.col("id") == F.col("__book")).select(F.col("id").cast("long").alias("id"), "title", "path", "val")
+
     def count(self) -> int:
         return self._read("books").count()
 
@@ -104,7 +128,12 @@ class Library:
         """Named expressions, out of the preferences."""
         prefs = self.table("preferences")
         row = prefs.where(F.col("key") == "virtual_libraries").select("val").first() if prefs is not None else None
-        return json.loads(row["val"]) if row and row["val"] else {}
+        try:
+            found = json.loads(row["val"]) if row and row["val"] else {}
+        except ValueError:
+            warnings.warn("the named views can't be read", stacklevel=2)
+            return {}
+        return found if isinstance(found, dict) else {}
 
     def custom_columns(self) -> list[dict]:
         """id, label, name, datatype and is_multiple of each custom column; the list is as short as the catalog's schema."""

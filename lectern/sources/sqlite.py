@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _KINDS = {"INT": "bigint", "BIGINT": "bigint", "BOOL": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double", "BLOB": "binary"}
+#: Row ids in a range, and ranges at most, unless a number of partitions is asked for.
+ROWS, MOST_PARTS = 200_000, 256
 
 
 def connect(path: str) -> tuple[sqlite3.Connection, str | None]:
@@ -44,6 +46,17 @@ def _with(path: str, use):
             shutil.rmtree(folder, ignore_errors=True)
 
 
+def resolve(explicit: str | None = None, saved: str | None = None, places: tuple[str, ...] = ("metadata.db",)) -> str:
+    """The path of a catalog: the one that is named, which must be there, else the saved one, else the first of the places that
+    there is. A folder stands for the metadata.db in it."""
+    for place in (explicit,) if explicit else (saved, *places):
+        path = os.path.expanduser(place or "")
+        path = os.path.join(path, "metadata.db") if os.path.isdir(path) else path
+        if place and os.path.exists(path):
+            return os.path.abspath(path)
+    raise FileNotFoundError(f"no catalog at {explicit}" if explicit else "no catalog; name its path")
+
+
 class _Range(InputPartition):
     def __init__(self, low, high):
         self.low, self.high = low, high
@@ -54,20 +67,33 @@ class _Reader(DataSourceReader):
         self.path, self.table, self.fields, self.parts = path, table, schema.fields, parts
 
     def partitions(self):
-        """Ranges of row ids."""
-        low, high = _with(self.path, lambda c: c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone())
+        """Ranges of row ids: as many as asked for, else one for each ROWS ids. A table without row ids is one range."""
+        try:
+            low, high = _with(self.path, lambda c: c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone())
+        except sqlite3.OperationalError as e:
+            if "rowid" not in str(e):
+                raise
+            return [_Range(None, None)]
         if low is None:
             return [_Range(0, -1)]
-        step = max(1, -(-(high - low + 1) // self.parts))
+        step = max(1, -(-(high - low + 1) // (self.parts or min(MOST_PARTS, -(-(high - low + 1) // ROWS)))))
         return [_Range(at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
 
     def read(self, partition):
         casts = {"bigint": int, "double": float, "string": str}
         kinds = [casts.get(f.dataType.simpleString(), lambda v: v) for f in self.fields]
         names = ", ".join(f'"{f.name}"' for f in self.fields)
-        rows = _with(self.path, lambda c: c.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high)).fetchall())
-        for row in rows:
-            yield tuple(None if v is None else k(v) for k, v in zip(kinds, row))
+        con, folder = connect(self.path)
+        try:
+            text = f'SELECT {names} FROM "{self.table}"'
+            # A cursor is read row by row, so that a task holds no more than a batch.
+            rows = con.execute(text) if partition.low is None else con.execute(f"{text} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
+            for row in rows:
+                yield tuple(None if v is None else k(v) for k, v in zip(kinds, row))
+        finally:
+            con.close()
+            if folder:
+                shutil.rmtree(folder, ignore_errors=True)
 
 
 class SqliteSource(DataSource):
@@ -86,14 +112,14 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{c[1]}` {kind(c[2])}" for c in columns)
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 1)))
+        return _Reader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 0)))
 
 
 def table_names(path: str) -> list[str]:
     return [r[0] for r in _with(path, lambda c: c.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall())]
 
 
-def read_table(spark: SparkSession, path: str, name: str, partitions: int = 1) -> DataFrame:
+def read_table(spark: SparkSession, path: str, name: str, partitions: int = 0) -> DataFrame:
     """One table; a table that is not there is a LookupError."""
     if name not in table_names(path):
         raise LookupError(f"no table {name}")
