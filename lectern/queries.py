@@ -216,7 +216,7 @@ def lint_duplicate_identifier(spark, sf_dir):
     return quality.duplicate_values(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("value")), "value", "doc_id")
 
 
-@query("SELECT event_type AS type, count(*) AS n, CASE WHEN event_type = 'error' THEN 'ID_TYPE_FORBIDDEN' ELSE 'ID_TYPE_UNDECLARED' END AS code FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
+@query("SELECT event_type AS type, count(*) AS n, CASE WHEN event_type = 'error' THEN 'ID_TYPE_FORBIDDEN' ELSE 'ID_TYPE_UNDECLARED' END AS code, CASE WHEN event_type = 'error' THEN 'E' ELSE 'W' END AS severity FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
 def lint_identifier_types(spark, sf_dir):
     return quality.identifier_type_findings(table(spark, sf_dir, "events"), "event_type", strict=True, forbidden=("error",), known=("click", "view"))
 
