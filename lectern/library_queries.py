@@ -362,7 +362,10 @@ def text_families(spark, sf_dir):
 @query("SELECT p_partkey AS id, CASE WHEN n >= 1073741824 THEN format('{:,.2f}', n / 1073741824) || ' GB' WHEN n >= 1048576 THEN format('{:,.1f}', n / 1048576) || ' MB' ELSE format('{:,.0f}', n / 1024) || ' KB' END AS size, repeat('█', (p_size * 40 // 50)::INT) AS bar, repeat('#', round_even(20.0 * p_size / 50, 0)::INT) AS share, CASE WHEN p_size > 25 THEN ' <Pages: ' || p_size || '>' ELSE '' END AS suffix FROM (SELECT p_partkey, p_size, (pow(p_partkey + 1, 3) * 1001 + 1)::BIGINT AS n FROM part)")
 def display_scalars(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
-    number = (F.pow(key + 1, F.lit(3)) * 1001 + 1).cast("long")
+    # The number passes a long from key 209,645 on: exact in decimals, rounded once to a double; past 38 digits in doubles alone.
+    one = key.cast("decimal(38,0)") + 1
+    exact = F.try_add(F.try_multiply(F.try_multiply(F.try_multiply(one, one), one), F.lit(1001)), F.lit(1))
+    number = F.coalesce(exact.cast("double"), F.pow(one.cast("double"), F.lit(3)) * 1001 + 1)
     pages = F.when(size > 25, size).when(size > 20, 0)
     return table(spark, sf_dir, "part").select(key.alias("id"), display.human_size(number).alias("size"), display.bar(size, F.lit(50)).alias("bar"), display.share_bar(size, F.lit(50)).alias("share"), display.value_suffix("Pages", pages).alias("suffix"))
 
