@@ -29,6 +29,16 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def stored(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """(path): each file below a folder whose name has that ending, by its path there; of a folder with that ending, such as a
+    table in several parts, the folder in their place."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    own = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path"))
+    outer = F.regexp_extract(own, rf"^((?:[^/]+/)*?[^/]+\Q{ending}\E)(?:/|$)", 1)
+    return read_files(spark, path, f"*{ending}").select(outer.alias("path")).distinct()
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 

@@ -122,7 +122,7 @@ def library_views(spark, sf_dir):
 
 @query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name")
 def file_scan(spark, sf_dir):
-    return files.read_files(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("name")).where("name not like '%.parquet.%'")
+    return files.stored(spark, sf_dir, ".parquet").select(F.substring_index("path", "/", -1).alias("name")).where("name not like '%.parquet.%'")
 
 
 # Scopes and orders

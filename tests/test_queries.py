@@ -1,3 +1,4 @@
+from lectern.functions import files
 from lectern.library_queries import QUERIES
 
 
@@ -7,3 +8,12 @@ def test_display_scalars_of_large_keys(spark, tmp_path):
     assert rows.pop(0) == "1 KB" and rows[208_538] == "8,454,658,445.92 GB"
     assert rows.pop(10**12).endswith(" GB")
     assert rows == {k: f"{float((k + 1) ** 3 * 1001 + 1) / 2**30:,.2f} GB" for k in (19_999, 208_538, 1_199_999)}
+
+
+def test_file_scan_names_tables_in_parts(spark, tmp_path):
+    folder = tmp_path / "x.parquet" / "sf"
+    for name in ("part.parquet", "pages.parquet/part-0000.parquet", "pages.parquet/part-0001.parquet", "labels.parquet/day=1/part-0000.parquet", "more/part.parquet", "notes.txt"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"x")
+    assert sorted(r["path"] for r in files.stored(spark, f"{folder}/", ".parquet").collect()) == ["labels.parquet", "more/part.parquet", "pages.parquet", "part.parquet"]
+    assert sorted(r["name"] for r in QUERIES["file_scan"](spark, str(folder)).collect()) == ["labels.parquet", "pages.parquet", "part.parquet", "part.parquet"]
