@@ -46,13 +46,18 @@ def collapse(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, r"(?U)\s+", " "))
 
 
-def plain_text(column: Column) -> Column:
+def plain_text(column: Column, entities: tuple[str, ...] | None = None) -> Column:
     """Markup as plain text: script and style go with what they hold, tags go, entities are decoded, no-break blanks become
-    blanks, and the ends are stripped."""
+    blanks, and the ends are stripped. Entities are all of HTML's, some of which need no semicolon, as in a browser; or only
+    those with the names given, each with its semicolon."""
+    named = None if entities is None else re.compile(f"&(?:{'|'.join(map(re.escape, entities))});")
+
+    def decode(x: str) -> str:
+        return named.sub(lambda m: html.unescape(m[0]), x) if named else html.unescape(x)
 
     @F.pandas_udf("string")
     def decoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: html.unescape(x).replace("\xa0", " ").strip(), na_action="ignore")
+        return s.map(lambda x: decode(x).replace("\xa0", " ").strip(), na_action="ignore")
 
     bare = F.regexp_replace(F.regexp_replace(column, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " ")
     return decoded(bare)

@@ -1,5 +1,9 @@
+import duckdb
+from pyspark.sql import functions as F
+
 from lectern.functions import files
-from lectern.library_queries import QUERIES
+from lectern.functions.text import plain_text
+from lectern.library_queries import QUERIES, SQL
 
 
 def test_display_scalars_of_large_keys(spark, tmp_path):
@@ -17,3 +21,12 @@ def test_file_scan_names_tables_in_parts(spark, tmp_path):
         (folder / name).write_bytes(b"x")
     assert sorted(r["path"] for r in files.stored(spark, f"{folder}/", ".parquet").collect()) == ["labels.parquet", "more/part.parquet", "pages.parquet", "part.parquet"]
     assert sorted(r["name"] for r in QUERIES["file_scan"](spark, str(folder)).collect()) == ["labels.parquet", "pages.parquet", "part.parquet", "part.parquet"]
+
+
+def test_plain_text_pages_as_sql(spark, tmp_path):
+    pages = ["<p>a &amp; b&amp</p>", "&amp <b>&copy 1 &copy; &middot;", "&amp;lt; &amp;amp; &lt;p&gt; &quot;x&quot;", "&nbsp;a&nbsp;", "&eacute; &#39; &am", "<style>p {}</style>x<script>a < b</script>", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["plain_text_pages"](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL["plain_text_pages"]).fetchall())
+    assert spark.range(1).select(plain_text(F.lit("&copy 1 &eacute;&amp"))).first()[0] == "© 1 é&"
